@@ -189,9 +189,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
             np.not_equal(g[1:], g[:-1], out=keep[1:])
             out.append(g[keep])
         elif b > a:
-            x = U64(b - a)
-            for w in h[a:b]:
-                x = x * U64(BASE) + w
+            x = b - a
+            for w in h[a:b].tolist():
+                x = (x * BASE + w) % (1 << 64)
             out.append(mix(np.array([x], U64)))
         else:
             out.append(np.zeros(0, U64))

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, ngram_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.op3,
+    "op5_ngram_jaccard_join": ngram_join.op5,
 }
 
 SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op5_ngram_jaccard_join": ngram_join.OP5_SQL,
 }
