@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, ngram_join
+from . import exact_dedup, ngram_join, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.op3,
     "op5_ngram_jaccard_join": ngram_join.op5,
+    "op6_suffix_array_dedup": suffix_dedup.op6,
 }
 
 SQL: dict[str, str] = {
