@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, ngram_join, packing, suffix_dedup
+from . import exact_dedup, ngram_join, packing, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.op3,
     "op4_best_fit_packing": packing.op4,
     "op5_ngram_jaccard_join": ngram_join.op5,
     "op6_suffix_array_dedup": suffix_dedup.op6,
+    "op7_toxicity_chain": toxicity.op7,
 }
 
 SQL: dict[str, str] = {
