@@ -45,8 +45,8 @@ BITS = 48
 
 _BLOB = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("key2", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("ns", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("dfs", pa.binary())])
 _BLOB_DDL = "part int, doc_id long, key long, key2 long, n long, keys binary, ns binary, counts binary, tokens binary, dfs binary"
-_SETS_DDL = "doc_id long, key long, key2 long, n long, tokens binary, prefix array<long>"
-_SETS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("key2", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+_SETS_DDL = "doc_id long, key long, key2 long, n long, own long, tokens binary, prefix array<long>"
+_SETS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("key2", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
 
 def pack(tokens: np.ndarray) -> bytes:
@@ -177,7 +177,7 @@ def _gather(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     for item in _collected(batches):
         if isinstance(item, pa.RecordBatch):
             k = item.num_rows
-            yield pa.RecordBatch.from_arrays([*item.columns[1:5], pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64()))], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([*item.columns[1:5], pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64()))], schema=_SETS)
             continue
         for part in list(item):
             blobs = item.pop(part)
@@ -187,7 +187,7 @@ def _gather(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             order = np.argsort(keys, kind="stable")
             starts = np.cumsum(counts) - counts
             edges = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0, True])
-            rows = {c: [] for c in ("key", "n", "tokens", "prefix")}
+            rows = {c: [] for c in ("key", "n", "own", "tokens", "prefix")}
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 segs = order[lo:hi]
                 n, m = int(ns[segs[0]]), int(counts[segs].sum())
@@ -199,6 +199,7 @@ def _gather(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                 first = np.lexsort((mine, rare))[: room + 1]
                 rows["key"].append(int(keys[segs[0]]))
                 rows["n"].append(n)
+                rows["own"].append(n - m)
                 rows["tokens"].append(np.sort(mine).tobytes())
                 rows["prefix"].append(mine[first].view(np.int64))
                 if len(rows["key"]) == 2000:
@@ -211,7 +212,7 @@ def _gather(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 def _sets(rows: dict[str, list]) -> pa.RecordBatch:
     k = len(rows["key"])
     none = pa.nulls(k, pa.int64())
-    return pa.RecordBatch.from_arrays([none, pa.array(rows["key"], pa.int64()), none, pa.array(rows["n"], pa.int64()), pa.array(rows["tokens"], pa.binary()), pa.array(rows["prefix"], pa.list_(pa.int64()))], schema=_SETS)
+    return pa.RecordBatch.from_arrays([none, pa.array(rows["key"], pa.int64()), none, pa.array(rows["n"], pa.int64()), pa.array(rows["own"], pa.int64()), pa.array(rows["tokens"], pa.binary()), pa.array(rows["prefix"], pa.list_(pa.int64()))], schema=_SETS)
 
 
 _TASK = pa.schema([("part", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("nx", pa.int64()), ("ny", pa.int64()), ("tokens", pa.binary())])
@@ -291,33 +292,39 @@ def ngram_components(docs: DataFrame, *, words: int = 5, percent: int = 80, text
     counted = cut.repartition(parts, "part").mapInArrow(partial(_count, buckets=parts), _BLOB_DDL)
     both = stages.put(counted.repartition(parts, "part").mapInArrow(partial(_gather, percent=percent), _SETS_DDL), "sets")
     rows = both.where("tokens is null").select("doc_id", "key", "key2", "n")
-    sets = both.where("tokens is not null").select("key", "n", "tokens", "prefix")
+    sets = both.where("tokens is not null").select("key", "n", "own", "tokens", "prefix")
 
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)) if percent < 100 else F.col("n")
-    posts = sets.select(F.explode("prefix").alias("token"), "key", "n", band.alias("band"))
+    posts = sets.select("key", "n", "own", band.alias("band"), F.posexplode("prefix").alias("at", "token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    posts = stages.put(posts.join(shared, "token"), "posts")
-    near = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-    reach = posts.select("token", "key", "n", "band", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("b"))
-
-    # each set with one set of its n-gram and band, and of the band below
-    pivots = posts.groupBy("token", F.col("band").alias("b")).agg(F.min(F.struct("key", "n")).alias("p")).select("token", "b", F.col("p.key").alias("pk"), F.col("p.n").alias("pn"))
-    star = reach.join(pivots, ["token", "b"]).where("key != pk").select(F.col("pk").alias("x"), F.col("key").alias("y"), F.col("pn").alias("nx"), F.col("n").alias("ny")).where(near)
-    star = star.select(F.when(F.col("x") < F.col("y"), F.struct("x", "y", "nx", "ny")).otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y"), F.col("ny").alias("nx"), F.col("nx").alias("ny"))).alias("p")).select("p.*")
-    tested = stages.put(star.distinct(), "star")
+    # at: the n-gram's place in its set, rarest first, after those that no other set has
+    posts = stages.put(posts.join(shared, "token").select("token", F.struct("key", "n", "own", (F.col("own") + F.col("at")).alias("at")).alias("s"), "band"), "posts")
+    reach = posts.select("token", "s", "band", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("b"))
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        """Pairs of structs p, q whose sizes, and the places of the n-gram they share, leave room for a link; least key first."""
+        total = F.col("p.n") + F.col("q.n")
+        overlap = F.ceil(percent * total / (100 + percent) - 1e-9)
+        room = (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")) & (F.col("p.at") <= F.col("p.n") - overlap) & (F.col("q.at") <= F.col("q.n") - overlap)
+        x, y = F.when(F.col("p.key") < F.col("q.key"), F.col("p")).otherwise(F.col("q")), F.when(F.col("p.key") < F.col("q.key"), F.col("q")).otherwise(F.col("p"))
+        return pairs.where(room & (F.col("p.key") != F.col("q.key"))).select(x["key"].alias("x"), y["key"].alias("y"), x["n"].alias("nx"), y["n"].alias("ny")).distinct()
+
+    # each set with one set of its n-gram and band, and of the band below: that with the fewest n-grams of its own,
+    # which is the most likely to be what the others were made from
+    pivots = posts.groupBy("token", F.col("band").alias("b")).agg(F.min(F.struct("s.own", "s")).alias("p")).select("token", "b", F.col("p.s").alias("p"))
+    tested = stages.put(candidates(reach.join(pivots, ["token", "b"]).select("p", F.col("s").alias("q"))), "star")
     links = stages.put(verified(tested, sets, percent, vertical=vertical).select("x", "y"), "links")
     found = connected_components(links, stages, "x", "y")
 
     # what is left: pairs of different components that share a prefix n-gram
     label = found.select(F.col("node").alias("key"), F.col("component").alias("c"))
-    named = reach.join(label, "key", "left").withColumn("c", F.coalesce("c", "key"))
+    named = reach.withColumn("key", F.col("s.key")).join(label, "key", "left").withColumn("c", F.coalesce("c", "key"))
     mixed = named.groupBy("token", "b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token", "b")
-    named = stages.put(named.join(mixed, ["token", "b"]), "named")
-    left = named.where("band = b").select("token", "b", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    right = named.select("token", "b", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), "band")
-    rest = left.join(right, ["token", "b"]).where((F.col("cx") != F.col("cy")) & ((F.col("band") != F.col("b")) | (F.col("x") < F.col("y")))).where(near)
-    rest = rest.select(F.when(F.col("x") < F.col("y"), F.struct("x", "y", "nx", "ny")).otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y"), F.col("ny").alias("nx"), F.col("nx").alias("ny"))).alias("p")).select("p.*").distinct()
-    rest = stages.put(rest.join(tested.select("x", "y"), ["x", "y"], "left_anti"), "rest")
+    named = stages.put(named.join(mixed, ["token", "b"]).select("token", "b", "band", "s", "c"), "named")
+    left = named.where("band = b").select("token", "b", F.col("s").alias("p"), F.col("c").alias("cp"))
+    right = named.select("token", "b", F.col("s").alias("q"), F.col("c").alias("cq"), "band")
+    rest = left.join(right, ["token", "b"]).where((F.col("cp") != F.col("cq")) & ((F.col("band") != F.col("b")) | (F.col("p.key") < F.col("q.key"))))
+    rest = stages.put(candidates(rest).join(tested.select("x", "y"), ["x", "y"], "left_anti"), "rest")
     more = stages.put(verified(rest, sets, percent, vertical=vertical).select("x", "y"), "links")
     stages.drop(posts, named, tested, rest)
     final = connected_components(links.union(more), stages, "x", "y")
