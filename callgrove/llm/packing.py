@@ -25,11 +25,12 @@ first in a size). An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,20 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = r"[\t\n\r\x20-\x7E¡-¬®-įı-ſ‐-‧€]*"
 
 
+class _Table(dict):
+    """Remembers what ``make`` gives for the first ``most`` keys; the frequent ones come early."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.make(key)
+        if len(self) < self.most:
+            self[key] = found
+        return found
+
+
 class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit numbers, by the tokenizer's file."""
 
@@ -55,15 +70,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.table, self.end = table, b"" if end_id is None else int(end_id).to_bytes(4, "little")
+        self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         self.split, self.plain = regex.compile(_PATTERN), regex.compile(_PLAIN)
         self.by_word = self._splits_by_word(path)
+        words = _Table(self._encoded, table).__getitem__
+        # between white space; a chunk's words don't depend on its neighbours
+        self.chunk = _Table(lambda chunk: b"".join(map(words, self.split.findall(chunk))), table).__getitem__
 
     @staticmethod
     def _splits_by_word(path: str) -> bool:
-        import json
-
         with open(path, encoding="utf-8") as file:
             head = json.load(file)
         kinds = [x["type"] for x in (head.get("normalizer") or {}).get("normalizers", [])]
@@ -71,20 +86,21 @@ class Encoder:
         pattern = steps[0].get("pattern", {}).get("Regex") if steps else None
         return kinds == ["NFC", "Replace", "Lowercase"] and pattern == _PATTERN
 
-    def _word(self, word: str) -> bytes:
-        found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
-        if len(self.words) >= self.table:
-            self.words.clear()
-        self.words[word] = found
-        return found
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return self.end
         if not self.by_word or "<|" in text or not self.plain.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes() + self.end
-        get, word = self.words.get, self._word
-        return b"".join([get(w) or word(w) for w in self.split.findall(text.lower())]) + self.end
+            return self._encoded(text) + self.end
+        return b"".join(map(self.chunk, text.lower().split())) + self.end
+
+
+@cache
+def encoder(path: str, end_id: int | None) -> Encoder:
+    """One for each Python worker; its tables serve all tasks there."""
+    return Encoder(path, end_id)
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -92,7 +108,7 @@ PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, i
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, size: int, emit_ids: bool) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path, end_id)
+    encode = encoder(path, end_id)
     for batch in batches:
         out: dict[str, list] = {c: [] for c in _PIECES.names}
 
@@ -103,7 +119,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, si
             return made
 
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = encoder(text.as_py())
+            raw = encode(text.as_py())
             for k, at in enumerate(range(0, max(1, len(raw)), 4 * size)):
                 part = raw[at : at + 4 * size]
                 out["doc_id"].append(doc_id)
@@ -214,6 +230,7 @@ def best_fit_packing(pieces: DataFrame, *, capacity: int) -> DataFrame:
     """``pieces`` (any rows with a column length from 1 to ``capacity``) with sequence_id and offset."""
     spark = pieces.sparkSession
     stages = Stages(spark, "packing")
+    pieces = stages.put(pieces, "pieces")  # the range partitioner samples its input first: tokens aren't made twice
     order = [F.col("length").desc(), *[F.col(c) for c in ("doc_id", "piece") if c in pieces.columns]]
     ranged = pieces.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     kind = pieces.schema
