@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, ngram_join, packing, suffix_dedup, toxicity
+from . import embedding_dedup, exact_dedup, language_id, ngram_join, packing, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.op3,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_array_dedup": suffix_dedup.op6,
     "op7_toxicity_chain": toxicity.op7,
     "op8_language_id": language_id.op8,
+    "op9_pivot_permutation_dedup": embedding_dedup.op9,
 }
 
 SQL: dict[str, str] = {
