@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, language_id, ngram_join, packing, suffix_dedup, toxicity
+from . import embedding_dedup, exact_dedup, language_id, ngram_join, packing, preference, quality, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_preference_format": preference.op1,
+    "op2_quality_empirical_bayes": quality.op2,
     "op3_exact_dedup": exact_dedup.op3,
     "op4_best_fit_packing": packing.op4,
     "op5_ngram_jaccard_join": ngram_join.op5,
@@ -19,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_preference_format": preference.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op5_ngram_jaccard_join": ngram_join.OP5_SQL,
 }
