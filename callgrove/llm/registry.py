@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, language_id, ngram_join, packing, preference, quality, suffix_dedup, toxicity
+from . import embedding_dedup, exact_dedup, language_id, ngram_join, packing, preference, quality, sentencepiece_sampling, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preference_format": preference.op1,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity_chain": toxicity.op7,
     "op8_language_id": language_id.op8,
     "op9_pivot_permutation_dedup": embedding_dedup.op9,
+    "op10_sentencepiece_gumbel": sentencepiece_sampling.op10,
 }
 
 SQL: dict[str, str] = {
