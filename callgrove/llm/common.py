@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,6 +35,9 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stages:
     """Tables written to the shared folder to cut lineage. A lost executor loses nothing of them.
 
@@ -51,10 +53,14 @@ class Stages:
     def put(self, df: DataFrame, label: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}-{label}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")  # the plan's shuffle files go once the table stands
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stage_path = path
-        self.release()
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -62,11 +68,6 @@ class Stages:
             if path := getattr(df, "_stage_path", None):
                 _remove(self.spark, path)
 
-    def release(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of plans that are done."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

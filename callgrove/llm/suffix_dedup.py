@@ -375,29 +375,31 @@ def _cut_out(batches: Iterator[pa.RecordBatch], added: list[str], length: int, d
         yield pa.RecordBatch.from_arrays(arrays, names=[*names, *added])
 
 
-def suffix_dedup(docs: DataFrame, *, length: int = 400, text: str = "text", digest: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, length: int = 400, text: str = "text", doc_id: str = "doc_id", digest: bool = False) -> DataFrame:
     """``docs`` with suffix_n_bytes, suffix_spans (what goes), suffix_bytes and suffix_text (what stays).
 
     digest: instead of the last two only suffix_sha256 of the bytes that stay.
     """
     spark = docs.sparkSession
     stages = Stages(spark, "suffix")
-    raw = docs.withColumn("suffix__text", F.coalesce(F.col(text), F.lit(""))).withColumn("suffix__th", F.unhex(F.md5(F.col("suffix__text").cast("binary"))))
-    slim = raw.select(F.col("suffix__th").alias("th"), F.col("suffix__text").alias("text"))
-    copies = stages.put(slim.groupBy("th").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
-    places = stages.put(slim.where(F.octet_length("text") >= length).mapInArrow(partial(_anchors, length=length), "th binary, pos int, gram long"), "anchors")
-    places = places.distinct() if copies.limit(1).count() else places
+    whole = F.coalesce(F.col(text), F.lit(""))
+    raw = docs.withColumn("suffix__th", F.unhex(F.md5(whole.cast("binary"))))
+    slim = raw.select(F.col("suffix__th").alias("th"), whole.alias("text"), F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("id")).alias("id"))
+    copies = stages.put(slim.groupBy("th").agg(F.count("*").alias("copies"), F.min("id").alias("first")).where("copies > 1"), "copies")
+    places = stages.put(slim.where(F.octet_length("text") >= length).select("th", "text").mapInArrow(partial(_anchors, length=length), "th binary, pos int, gram long"), "anchors")
+    # grams that only copies share count as shared too; that costs a little and changes nothing
     often = places.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
-    # a text that stands for its copies takes part even if no other text shares its anchors; it isn't needed then
-    shared = places.join(often, "gram").groupBy("th").agg(F.collect_list(F.struct("pos", "gram", (F.col("c") > HOT).alias("hot"))).alias("places"))
-    first = slim.join(copies, "th", "left_anti").unionByName(slim.join(copies.select("th"), "th", "left_semi").dropDuplicates(["th"]))
+    shared = places.join(often, "gram").groupBy("th").agg(F.collect_set(F.struct("pos", "gram", (F.col("c") > HOT).alias("hot"))).alias("places"))
+    # one row stands for its copies
+    first = slim.join(copies.select("th", "first"), "th", "left").where(F.col("first").isNull() | (F.col("first") == F.col("id")))
     contexts = first.join(shared, "th").select("th", "text", "places").mapInArrow(partial(_contexts, length=length), "gram long, left int, context binary, ths binary, places binary")
     found = contexts.repartition(4 * partitions(spark), "gram").mapInArrow(partial(_sorted_repeats, length=length), "th binary, a int, b int")
     spans = stages.put(found.groupBy("th").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "spans")
+    stages.drop(places)
     spans = spans.join(copies, "th", "left_anti")  # copies go as a whole
-    joined = raw.join(copies.withColumnRenamed("th", "suffix__th"), "suffix__th", "left").join(spans.select(F.col("th").alias("suffix__th"), F.col("a").alias("suffix__a"), F.col("b").alias("suffix__b")), "suffix__th", "left")
+    joined = raw.join(copies.select(F.col("th").alias("suffix__th"), "copies"), "suffix__th", "left").join(spans.select(F.col("th").alias("suffix__th"), F.col("a").alias("suffix__a"), F.col("b").alias("suffix__b")), "suffix__th", "left")
     base = docs.columns
-    ready = joined.select(*base, "suffix__text", F.coalesce("copies", F.lit(1)).alias("suffix__copies"), "suffix__a", "suffix__b")
+    ready = joined.select(*base, whole.alias("suffix__text"), F.coalesce("copies", F.lit(1)).alias("suffix__copies"), "suffix__a", "suffix__b")
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     added = {"suffix_n_bytes": T.LongType(), "suffix_spans": spans_type}
     added |= {"suffix_sha256": T.StringType()} if digest else {"suffix_bytes": T.BinaryType(), "suffix_text": T.StringType()}
