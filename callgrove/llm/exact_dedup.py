@@ -32,18 +32,19 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     content_hash: any hash of the normalised text; a weak one costs time, not correctness.
     """
     stages = Stages(docs.sparkSession, "exact")
-    keyed = docs.withColumn("dedup_text", normalised(F.col(text)))
-    keyed = keyed.withColumn("dedup_hash", content_hash(F.col("dedup_text").cast("binary")))
+    bytes_ = normalised(F.col(text)).cast("binary")
+    keyed = docs.withColumn("dedup_hash", content_hash(bytes_))
     ids = keyed.select("dedup_hash", F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("id")).alias("i"))
     per_id = ids.groupBy("dedup_hash", "i").agg(F.count("*").alias("c"))
     groups = stages.put(per_id.groupBy("dedup_hash").agg(F.min(F.struct("i", "c")).alias("m"), F.sum("c").alias("size")).select("dedup_hash", F.col("m.i.id").alias("first"), F.col("m.c").alias("twins"), "size"), "groups")
 
-    joined = keyed.join(groups, "dedup_hash").withColumn("dedup_sha256", F.sha2(F.col("dedup_text").cast("binary"), 256))
+    # the digest is made before the join, so rows without copies needn't carry their text for it
+    joined = keyed.withColumn("dedup_sha256", F.sha2(bytes_, 256)).join(groups, "dedup_hash")
     base = docs.columns
     single = joined.where("size = 1").select(*base, F.col("first").alias("dedup_keep_id"), F.lit(1).cast("long").alias("dedup_group_size"), F.lit(True).alias("dedup_kept"), "dedup_sha256")
 
     # the byte comparison: members against the text of their group's first row
-    members = stages.put(joined.where("size > 1").select(*base, "dedup_hash", "dedup_text", "dedup_sha256", "first", "twins", "size"), "members")
+    members = stages.put(joined.where("size > 1").select(*base, "dedup_hash", normalised(F.col(text)).alias("dedup_text"), "dedup_sha256", "first", "twins", "size"), "members")
     first = members.where(F.col(doc_id).eqNullSafe(F.col("first"))).groupBy("dedup_hash").agg(F.min("dedup_text").alias("first_text"))
     compared = members.join(first, "dedup_hash").withColumn("equal", F.col("dedup_text") == F.col("first_text")).drop("first_text")
     odd = stages.put(compared.where("not equal"), "odd")
