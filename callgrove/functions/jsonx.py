@@ -63,7 +63,8 @@ def _decimal(value) -> str:
         return "true" if value else "false"
     if isinstance(value, float) and not math.isfinite(value):
         return str(value)
-    return str(_WIDE.normalize(Decimal(str(value))) + 0)
+    number = _WIDE.normalize(Decimal(str(value)))
+    return str(number) if number else "0"
 
 
 def _python_number(value) -> str:

@@ -128,12 +128,10 @@ def alternatives_accuracy(spark, sf_dir):
 
 # ---------------------------------------------------------------- leakage
 
-_EVAL = F.col("doc_id") % 5 == 0
-
 
 def _prompts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("text").alias("user_utterance"))
-    return d.where(~_EVAL), d.where(_EVAL)
+    return d.where("doc_id % 5 <> 0"), d.where("doc_id % 5 = 0")
 
 
 def exact_prompt_overlap(spark, sf_dir):
