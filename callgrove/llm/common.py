@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +72,28 @@ class Stages:
                 _remove(self.spark, path)
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Batches of texts to Python of at most ``rows`` rows from now on: the default of 10,000 is made for narrow rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def frees_memory(function: Callable) -> Callable:
+    """For functions over Arrow batches: when a task is done, its worker gives free memory back before the next one."""
+
+    @wraps(function)
+    def run(*args, **options):
+        try:
+            yield from function(*args, **options)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -103,7 +128,7 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(1 << 16, 1 << int(n).bit_length())
+        size = -(-n // (1 << 18)) << 18
         with np.errstate(over="ignore"):
             up, down = np.full(size, BASE, U64), np.full(size, BASE_INV, U64)
             up[0] = down[0] = 1
@@ -128,7 +153,7 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return (prefix[ends] - prefix[starts]) * down[starts]
 
 
-def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with about max_bytes of text; a longer row comes alone. Null is empty."""
     col = batch.column(batch.schema.get_field_index(column))
     if len(col) == 0:

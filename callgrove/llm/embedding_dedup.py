@@ -26,10 +26,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stages, connected_components, partitions
+from .common import Stages, connected_components, frees_memory, partitions
 
 _ITEM = pa.schema([("uid", pa.int64()), ("leader", pa.int64()), ("angle", pa.float64()), ("v", pa.list_(pa.float64())), ("top", pa.list_(pa.int32())), ("weight", pa.int64()), ("radius", pa.float64())])
 _ITEM_DDL = "uid long, leader long, angle double, v array<double>, top array<int>, weight long, radius double"
@@ -108,6 +109,7 @@ def _by_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+@frees_memory
 def _candidates(batches: Iterator[pa.RecordBatch], shared: int, limit: float, cosine: float) -> Iterator[pa.RecordBatch]:
     """pivot, i, j, block, uid, v, top, radius: pairs of a list's blocks i and j, verified by centres and radii."""
     for table in _by_partition(batches):
@@ -148,6 +150,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], shared: int, limit: float, co
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ua, ub)[keep]), pa.array(np.maximum(ua, ub)[keep]), pa.array(sure[keep])], schema=_PAIR)
 
 
+@frees_memory
 def _members_compared(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
     """a, b, side, uid, v: the members of two balls; (a, b, uid, n) for those with links to the other ball."""
     for table in _by_partition(batches):
@@ -170,6 +173,7 @@ def embedding_dedup(vectors: DataFrame, *, cosine: float = 0.9, near: int = 12,
     """``vectors`` with near_links (vectors linked directly), near_component (least id reachable, itself included) and near_kept."""
     spark = vectors.sparkSession
     stages = Stages(spark, "vectors")
+    vectors = vectors.drop("near_links", "near_component", "near_kept")
     limit = math.acos(cosine)
     ball = min(math.inf if ball is None else math.radians(ball), limit / 2 - 1e-6)
     value = F.col("v")

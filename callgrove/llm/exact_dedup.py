@@ -32,41 +32,44 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     content_hash: any hash of the normalised text; a weak one costs time, not correctness.
     """
     stages = Stages(docs.sparkSession, "exact")
+    docs = docs.drop("dedup_keep_id", "dedup_group_size", "dedup_kept", "dedup_sha256")
+    base, ident = docs.columns, F.col(doc_id)
     bytes_ = normalised(F.col(text)).cast("binary")
-    keyed = docs.withColumn("dedup_hash", content_hash(bytes_))
-    ids = keyed.select("dedup_hash", F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("id")).alias("i"))
-    per_id = ids.groupBy("dedup_hash", "i").agg(F.count("*").alias("c"))
-    groups = stages.put(per_id.groupBy("dedup_hash").agg(F.min(F.struct("i", "c")).alias("m"), F.sum("c").alias("size")).select("dedup_hash", F.col("m.i.id").alias("first"), F.col("m.c").alias("twins"), "size"), "groups")
+    keyed = docs.withColumn("dedup__hash", content_hash(bytes_))
+    ids = keyed.select("dedup__hash", F.struct(ident.isNull().alias("n"), ident.alias("id")).alias("i"))
+    per_id = ids.groupBy("dedup__hash", "i").agg(F.count("*").alias("c"))
+    groups = per_id.groupBy("dedup__hash").agg(F.min(F.struct("i", "c")).alias("m"), F.sum("c").alias("dedup__size"))
+    groups = stages.put(groups.select("dedup__hash", F.col("m.i.id").alias("dedup_keep_id"), F.col("m.c").alias("dedup__twins"), "dedup__size"), "groups")
 
     # the digest is made before the join, so rows without copies needn't carry their text for it
-    joined = keyed.withColumn("dedup_sha256", F.sha2(bytes_, 256)).join(groups, "dedup_hash")
-    base = docs.columns
-    single = joined.where("size = 1").select(*base, F.col("first").alias("dedup_keep_id"), F.lit(1).cast("long").alias("dedup_group_size"), F.lit(True).alias("dedup_kept"), "dedup_sha256")
+    joined = keyed.withColumn("dedup_sha256", F.sha2(bytes_, 256)).join(groups, "dedup__hash")
+    single = joined.where("dedup__size = 1").withColumn("dedup_group_size", F.lit(1).cast("long")).withColumn("dedup_kept", F.lit(True))
 
     # the byte comparison: members against the text of their group's first row
-    members = stages.put(joined.where("size > 1").select(*base, "dedup_hash", normalised(F.col(text)).alias("dedup_text"), "dedup_sha256", "first", "twins", "size"), "members")
-    first = members.where(F.col(doc_id).eqNullSafe(F.col("first"))).groupBy("dedup_hash").agg(F.min("dedup_text").alias("first_text"))
-    compared = members.join(first, "dedup_hash").withColumn("equal", F.col("dedup_text") == F.col("first_text")).drop("first_text")
-    odd = stages.put(compared.where("not equal"), "odd")
-    fewer = odd.groupBy("dedup_hash").agg(F.count("*").alias("odd"))
-    same = compared.where("equal").join(fewer, "dedup_hash", "left").withColumn("dedup_group_size", F.col("size") - F.coalesce("odd", F.lit(0)))
+    members = stages.put(joined.where("dedup__size > 1").withColumn("dedup__text", normalised(F.col(text))), "members")
+    is_first = ident.eqNullSafe(F.col("dedup_keep_id"))
+    first = members.where(is_first).groupBy("dedup__hash").agg(F.min("dedup__text").alias("dedup__first"))
+    compared = members.join(first, "dedup__hash").withColumn("dedup__equal", F.col("dedup__text") == F.col("dedup__first")).drop("dedup__first")
+    odd = stages.put(compared.where("not dedup__equal"), "odd")
+    fewer = odd.groupBy("dedup__hash").agg(F.count("*").alias("dedup__odd"))
+    same = compared.where("dedup__equal").join(fewer, "dedup__hash", "left")
+    same = same.withColumn("dedup_group_size", F.col("dedup__size") - F.coalesce("dedup__odd", F.lit(0))).withColumn("dedup_kept", is_first)
     # collisions: hash and text together are exact
-    again = odd.groupBy("dedup_hash", "dedup_text").agg(F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id).alias("id"))).alias("m"), F.count("*").alias("dedup_group_size"))
-    other = odd.drop("first", "size").join(again.select("dedup_hash", "dedup_text", F.col("m.id").alias("first"), "dedup_group_size"), ["dedup_hash", "dedup_text"])
+    again = odd.groupBy("dedup__hash", "dedup__text").agg(F.min(F.struct(ident.isNull(), ident.alias("id"))).alias("m"), F.count("*").alias("dedup_group_size"))
+    other = odd.drop("dedup_keep_id").join(again.select("dedup__hash", "dedup__text", F.col("m.id").alias("dedup_keep_id"), "dedup_group_size"), ["dedup__hash", "dedup__text"]).withColumn("dedup_kept", is_first)
 
-    def marked(df: DataFrame) -> DataFrame:
-        return df.withColumn("dedup_kept", F.col(doc_id).eqNullSafe(F.col("first"))).withColumnRenamed("first", "dedup_keep_id")
-
-    cols = [*base, "dedup_hash", "dedup_keep_id", "dedup_group_size", "dedup_kept", "dedup_sha256", "twins"]
-    same, other = marked(same).select(cols), marked(other).select(cols)
+    result = [*base, "dedup_keep_id", "dedup_group_size", "dedup_kept", "dedup_sha256"]
     # repeated rows of one id and text: one of them stays. Only such rows meet the window.
-    alone = same.where("twins = 1 or not dedup_kept")
-    twins = same.where("twins > 1 and dedup_kept").union(other.where("dedup_kept"))
-    rest = other.where("not dedup_kept")
-    order = Window.partitionBy("dedup_hash", "dedup_sha256", "dedup_keep_id").orderBy(F.lit(0))
+    alone = same.where("dedup__twins = 1 or not dedup_kept")
+    marked = [*result, "dedup__hash"]
+    twins = same.where("dedup__twins > 1 and dedup_kept").select(marked).union(other.where("dedup_kept").select(marked))
+    order = Window.partitionBy("dedup__hash", "dedup_sha256", "dedup_keep_id").orderBy(F.lit(0))
     twins = twins.withColumn("dedup_kept", F.row_number().over(order) == 1)
-    result = [*base, "dedup_keep_id", "dedup_group_size", "dedup_kept", "dedup_sha256"]
-    return single.unionByName(alone.select(result)).unionByName(twins.select(result)).unionByName(rest.select(result))
+    rest = other.where("not dedup_kept")
+    out = single.select(result)
+    for part in (alone, twins, rest):
+        out = out.union(part.select(result))
+    return out
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import frees_memory, text_batches, text_slices
 
 #: Characters that are parsed as one run.
 RUN = 512
@@ -154,11 +154,11 @@ class Model:
         return out
 
 
-def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+@frees_memory
+def _predict(batches: Iterator[pa.RecordBatch], shared, column: str = "text") -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
-    column = "lang__text"
     for batch in batches:
-        for a, b, data, offsets in text_slices(batch, column, 4 << 20):
+        for a, b, data, offsets in text_slices(batch, column, 2 << 20):
             n = b - a
             text = data.tobytes().decode("utf-8", "replace")
             lead = (data & 0xC0) != 0x80
@@ -184,9 +184,7 @@ def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
                 share = (1 / cost) / (1 / cost).sum(axis=1, keepdims=True)
                 lang[has] = np.array(model.langs, object)[best[has]]
                 score[has] = share[np.arange(n), best][has]
-            columns = [c.slice(a, n) for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != column]
-            names = [name for name in batch.schema.names if name != column]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang.tolist(), pa.string()), pa.array(score)], names=[*names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*(c.slice(a, n) for c in batch.columns), pa.array(lang.tolist(), pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "lang_score"])
 
 
 def labelled_samples(docs: DataFrame, learn: Column, *, sample_chars: int, text: str, lang: str, doc_id: str) -> dict[str, list[str]]:
@@ -213,10 +211,12 @@ def labelled_samples(docs: DataFrame, learn: Column, *, sample_chars: int, text:
 def language_id(docs: DataFrame, learn: Column, *, sample_chars: int = SAMPLE_CHARS, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with lang_pred and lang_score, learnt from the rows where ``learn`` holds."""
     spark = docs.sparkSession
+    docs = docs.drop("lang_pred", "lang_score")
     model = Model(labelled_samples(docs, learn, sample_chars=sample_chars, text=text, lang=lang, doc_id=doc_id))
     shared = spark.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return docs.withColumn("lang__text", F.coalesce(F.col(text), F.lit(""))).mapInArrow(partial(_predict, shared=shared), schema)
+    text_batches(spark)
+    return docs.mapInArrow(partial(_predict, shared=shared, column=text), schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE_LOWER, U64, mix, prefix_hashes, span_hashes, text_slices
+from .common import BYTE_CODE_LOWER, U64, frees_memory, mix, prefix_hashes, span_hashes, text_batches, text_slices
 
 #: Buckets of hashed features: 2 ** FEATURE_BITS.
 FEATURE_BITS = 18
@@ -58,7 +58,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     sums = lambda table: np.diff(np.r_[0, np.cumsum(table[data], dtype=np.int64)][offsets])
     stats = np.stack([sums(_UPPER) / size, sums(_MARK) / size, kinds / np.maximum(1, words), np.log2(1 + words) / 16, sums(_SPACE) / size, (words > 0) * size / np.maximum(1, words) / 32])
     bins = np.minimum((stats * 16).astype(np.int64), 20)
-    some = np.flatnonzero(size > 0)
+    some = np.flatnonzero(np.diff(offsets) > 0)
     extra = [(some << FEATURE_BITS) | (mix((bins[k][some] + 32 * (k + 1)).astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - FEATURE_BITS)).astype(np.int64) for k in range(len(bins))]
     pairs = np.unique(np.concatenate([pairs, stems, *extra]))
     return pairs >> FEATURE_BITS, pairs & ((1 << FEATURE_BITS) - 1)
@@ -67,6 +67,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 _SAMPLE_DDL = "key long, buckets array<int>"
 
 
+@frees_memory
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in text_slices(batch, "text"):
@@ -188,13 +189,14 @@ class Chain:
         return found
 
 
-def _scored(batches: Iterator[pa.RecordBatch], shared, names: list[str]) -> Iterator[pa.RecordBatch]:
+@frees_memory
+def _scored(batches: Iterator[pa.RecordBatch], shared, names: list[str], text: str) -> Iterator[pa.RecordBatch]:
     chain = shared.value
     for batch in batches:
-        for a, b, data, offsets in text_slices(batch, "linear__text"):
+        for a, b, data, offsets in text_slices(batch, text):
             rows, buckets = features(data, offsets)
             found = chain.predict(rows, buckets, b - a)
-            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), *map(pa.array, found)], names=[*batch.schema.names[:-1], *names])
+            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *map(pa.array, found)], names=[*batch.schema.names, *names])
 
 
 def with_probabilities(docs: DataFrame, chain: Chain, names: list[str], *, text: str) -> DataFrame:
@@ -203,4 +205,5 @@ def with_probabilities(docs: DataFrame, chain: Chain, names: list[str], *, text:
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(x, T.DoubleType()) for x in names)])
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    return docs.withColumn("linear__text", F.coalesce(F.col(text), F.lit(""))).mapInArrow(partial(_scored, shared=shared, names=names), schema)
+    text_batches(docs.sparkSession)
+    return docs.mapInArrow(partial(_scored, shared=shared, names=names, text=text), schema)

@@ -35,10 +35,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Stages, connected_components, mix, partitions, shingle_sets, text_slices
+from .common import U64, Stages, connected_components, frees_memory, mix, partitions, shingle_sets, text_batches, text_slices
 
 #: Bits of an n-gram's hash that travel.
 BITS = 48
@@ -70,6 +71,7 @@ def _by_part(parts: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(parts[order], np.arange(n_parts + 1))
 
 
+@frees_memory
 def _cut(batches: Iterator[pa.RecordBatch], words: int, fragments: int) -> Iterator[pa.RecordBatch]:
     """Sets of n-grams cut into fragments; and a row per document."""
     shift = U64(64 - int(math.log2(fragments)))
@@ -131,6 +133,7 @@ def _segments(blobs: list[tuple[bytes, ...]]) -> tuple[np.ndarray, np.ndarray, n
     return keys, ns, counts, unpack(b"".join(x[3] for x in blobs))
 
 
+@frees_memory
 def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Of each fragment the n-grams that several different sets hold, dealt by set."""
     for item in _collected(batches):
@@ -172,6 +175,7 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(rows["part"], pa.int32()), none, none, none, none, *[pa.array(rows[c], pa.binary()) for c in ("keys", "ns", "counts", "tokens", "dfs")]], schema=_BLOB)
 
 
+@frees_memory
 def _gather(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Sets whose shared n-grams leave room for a partner, with their prefixes; rows of documents pass."""
     for item in _collected(batches):
@@ -220,6 +224,7 @@ _TASK_DDL = "part int, x long, y long, nx long, ny long, tokens binary"
 _OVERLAP = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("nx", pa.int64()), ("ny", pa.int64()), ("o", pa.int64())])
 
 
+@frees_memory
 def _slices(batches: Iterator[pa.RecordBatch], vertical: int) -> Iterator[pa.RecordBatch]:
     """(group, key, tokens) to one row for each vertical slice."""
     bounds = (np.arange(1, vertical, dtype=np.float64) * (2.0**BITS / vertical)).astype(U64)
@@ -238,6 +243,7 @@ def _slices(batches: Iterator[pa.RecordBatch], vertical: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(keys, pa.int64()), none, none, none, pa.array(out, pa.binary())], schema=_TASK)
 
 
+@frees_memory
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial overlaps of the pairs in a slice."""
     slices: dict[tuple[int, int], np.ndarray] = {}
@@ -286,6 +292,7 @@ def ngram_components(docs: DataFrame, *, words: int = 5, percent: int = 80, text
     """
     spark = docs.sparkSession
     stages = Stages(spark, "ngram")
+    text_batches(spark)
     parts = fragments or max(32, 1 << math.ceil(math.log2(partitions(spark))))
     parts = 1 << max(0, math.ceil(math.log2(parts)))
     cut = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(partial(_cut, words=words, fragments=parts), _BLOB_DDL)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stages, partitions
+from .common import Stages, frees_memory, partitions, text_batches
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
@@ -66,7 +66,7 @@ class _Table(dict):
 class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit numbers, by the tokenizer's file."""
 
-    def __init__(self, path: str, end_id: int | None = 0, table: int = 400_000):
+    def __init__(self, path: str, end_id: int | None = 0, table: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -107,6 +107,7 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
 
 
+@frees_memory
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, size: int, emit_ids: bool) -> Iterator[pa.RecordBatch]:
     encode = encoder(path, end_id)
     for batch in batches:
@@ -135,6 +136,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, si
 
 def tokenized_pieces(docs: DataFrame, *, tokenizer: str, size: int, end_id: int | None = 0, emit_ids: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids): documents as token ids, cut into pieces of at most ``size``."""
+    text_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return slim.mapInArrow(partial(_pieces, path=tokenizer, end_id=end_id, size=size, emit_ids=emit_ids), PIECES_DDL)
 
@@ -230,6 +232,7 @@ def best_fit_packing(pieces: DataFrame, *, capacity: int) -> DataFrame:
     """``pieces`` (any rows with a column length from 1 to ``capacity``) with sequence_id and offset."""
     spark = pieces.sparkSession
     stages = Stages(spark, "packing")
+    pieces = pieces.drop("sequence_id", "offset")
     pieces = stages.put(pieces, "pieces")  # the range partitioner samples its input first: tokens aren't made twice
     order = [F.col("length").desc(), *[F.col(c) for c in ("doc_id", "piece") if c in pieces.columns]]
     ranged = pieces.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)

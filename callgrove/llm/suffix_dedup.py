@@ -13,7 +13,7 @@ Method: a sparse suffix array, sorted with hash-compared suffixes.
    with the longest common extensions: the first of them whose extensions to both sides add up to ``length`` gives the
    farthest end of the repeat to that side. Anchors for which this isn't found among the nearest neighbours go through
    all offsets of their group by window hashes, which is exact too.
-4. Collision verification. Each repeat found is compared byte by byte with its partner; if any differs, the group is done again over
+4. Collision verification. The order of neighbours and each repeat found are compared byte by byte; if any differs, the group is done again over
    the bytes themselves.
 
 A text that occurs more than once is a repeat as a whole; one of its rows stands for all as a partner. K-grams with very
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, U64, Stages, mix, partitions, powers, prefix_hashes, span_hashes, text_slices
+from .common import BASE, U64, Stages, frees_memory, mix, partitions, powers, prefix_hashes, span_hashes, text_batches, text_slices
 
 #: Neighbours that are tried on either side before a group's offsets are all tried.
 NEIGHBOURS = 8
@@ -87,6 +87,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return rows, chosen - offsets[rows], grams[chosen].view(np.int64)
 
 
+@frees_memory
 def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ths = batch.column(0)
@@ -96,6 +97,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 yield pa.RecordBatch.from_arrays([ths.slice(a, b - a).take(pa.array(rows)), pa.array(pos.astype(np.int32)), pa.array(grams)], schema=_ANCHORS)
 
 
+@frees_memory
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """th, text, places as array of (pos, gram, hot): what stands around each anchor; equal ones of a batch once."""
     k = gram_size(length)
@@ -123,7 +125,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                         size += len(context)
                     item[0].append(th)
                     item[1].append(pos)
-            if size > 16 << 20:
+            if size > 8 << 20:
                 yield _context_rows(seen)
                 seen, size = {}, 0
         if seen:
@@ -207,14 +209,24 @@ class Suffixes:
         return order
 
 
-def _farthest(s: Suffixes, length: int, way: int, best: np.ndarray, partner: np.ndarray) -> np.ndarray:
-    """For each suffix the longest extension to one side with a partner whose extensions add up to length. Returns those not settled."""
+def _farthest(s: Suffixes, length: int, way: int, best: np.ndarray, partner: np.ndarray, wrong: np.ndarray) -> np.ndarray:
+    """For each suffix the longest extension to one side with a partner whose extensions add up to length. Returns those not settled; marks in ``wrong`` those whose place in the order the bytes don't confirm."""
     order = s.merge_sorted(way)
     n = len(order)
     next_ = np.zeros(n, np.int64)
     if n > 1:
         same = np.flatnonzero(s.group[order[1:]] == s.group[order[:-1]])
         next_[same] = s.common(order[same], order[same + 1], way)
+    wrong |= np.bincount(order, minlength=n) != 1
+    # collision verification of the order: neighbours share what is said and then differ the right way
+    for i in np.flatnonzero(s.group[order[1:]] == s.group[order[:-1]]).tolist():
+        a, b, m = int(order[i]), int(order[i + 1]), int(next_[i])
+        x, y, at, to = s.raw[a], s.raw[b], int(s.left[a]), int(s.left[b])
+        if way > 0:
+            right = x[at : at + m] == y[to : to + m] and x[at + m : at + m + 1] <= y[to + m : to + m + 1]
+        else:
+            right = x[at - m : at] == y[to - m : to] and x[max(0, at - m - 1) : at - m] <= y[max(0, to - m - 1) : to - m]
+        wrong[[a, b]] |= not right
     unsettled = np.zeros(n, bool)
     rest = s.left if way > 0 else s.right
     for side in (1, -1):
@@ -241,8 +253,9 @@ def _farthest(s: Suffixes, length: int, way: int, best: np.ndarray, partner: np.
     return unsettled
 
 
-def _all_offsets(s: Suffixes, length: int, members: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The same by the window hashes (exact: the bytes) of all offsets of the groups in question."""
+def _all_offsets(s: Suffixes, length: int, members: np.ndarray, exact: bool, wrong: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same by the window hashes (exact: the bytes) of all offsets of the groups in question; equal hashes of unequal bytes are marked in ``wrong``."""
+    window = lambda i, o: s.raw[i][int(s.left[i]) - o : int(s.left[i]) - o + length]
     left, right = np.zeros(len(members), np.int64), np.zeros(len(members), np.int64)
     for o in range(length - s.least + 1):
         has = np.flatnonzero((s.left[members] >= o) & (s.right[members] >= length - o))
@@ -251,11 +264,17 @@ def _all_offsets(s: Suffixes, length: int, members: np.ndarray, exact: bool) ->
             continue
         if exact:
             names: dict = {}
-            h = np.array([names.setdefault((int(s.group[i]), s.raw[i][int(s.left[i]) - o : int(s.left[i]) - o + length]), len(names)) for i in who])
+            h = np.array([names.setdefault((int(s.group[i]), window(i, o)), len(names)) for i in who])
         else:
             h = mix(span_hashes(s.prefix, s.base[who] - o, s.base[who] - o + length) + s.group[who].astype(U64) * U64(BASE))
-        _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
-        twice = has[counts[inverse] > 1]
+        _, first, inverse, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        same = np.flatnonzero(counts[inverse] > 1)
+        if not exact:
+            for i in same.tolist():
+                a, b = int(who[i]), int(who[first[inverse[i]]])
+                if a != b and (s.group[a] != s.group[b] or window(a, o) != window(b, o)):
+                    wrong[[a, b]] = True
+        twice = has[same]
         left[twice] = np.maximum(left[twice], o)
         right[twice] = np.maximum(right[twice], length - o)
     return left, right
@@ -269,13 +288,13 @@ def repeats(contexts: list[bytes], left: np.ndarray, group: np.ndarray, times: n
     copy = (times > 1) & (s.left + s.right >= length)
     best_r[copy], best_l[copy] = s.right[copy], s.left[copy]
     by_r, by_l = np.full(n, -1), np.full(n, -1)
-    late = _farthest(s, length, 1, best_r, by_r)
-    late |= _farthest(s, length, -1, best_l, by_l)
     wrong = np.zeros(n, bool)
-    for i in np.flatnonzero(by_r >= 0).tolist():  # collision verification
+    late = _farthest(s, length, 1, best_r, by_r, wrong)
+    late |= _farthest(s, length, -1, best_l, by_l, wrong)
+    for i in np.flatnonzero(by_r >= 0).tolist():  # collision verification of what is removed
         j, r = int(by_r[i]), int(best_r[i])
         li, lj, need = int(s.left[i]), int(s.left[j]), max(0, length - r)
-        wrong[i] = s.raw[i][li - need : li + r] != s.raw[j][lj - need : lj + r]
+        wrong[i] |= s.raw[i][li - need : li + r] != s.raw[j][lj - need : lj + r]
     for i in np.flatnonzero(by_l >= 0).tolist():
         j, m = int(by_l[i]), int(best_l[i])
         li, lj, need = int(s.left[i]), int(s.left[j]), max(0, length - m)
@@ -283,7 +302,7 @@ def repeats(contexts: list[bytes], left: np.ndarray, group: np.ndarray, times: n
     for which, exact in ((late, False), (wrong, True)):
         if which.any():
             members = np.flatnonzero(np.isin(s.group, s.group[which]))
-            more_l, more_r = _all_offsets(s, length, members, exact)
+            more_l, more_r = _all_offsets(s, length, members, exact, wrong)
             keep = copy[members]
             more_l, more_r = np.where(keep, s.left[members], more_l), np.where(keep, s.right[members], more_r)
             best_l[members] = more_l if exact else np.maximum(best_l[members], more_l)
@@ -292,6 +311,7 @@ def repeats(contexts: list[bytes], left: np.ndarray, group: np.ndarray, times: n
     return np.where(found, best_l, 0), np.where(found, best_r, 0)
 
 
+@frees_memory
 def _sorted_repeats(batches: Iterator[pa.RecordBatch], length: int, chunk: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     held: dict[int, dict[tuple[int, bytes], list]] = {}
     for batch in batches:
@@ -354,6 +374,7 @@ def _whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
+@frees_memory
 def _cut_out(batches: Iterator[pa.RecordBatch], added: list[str], length: int, digest: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("suffix__text", "suffix__copies", "suffix__a", "suffix__b")}
@@ -382,6 +403,8 @@ def suffix_dedup(docs: DataFrame, *, length: int = 400, text: str = "text", doc_
     """
     spark = docs.sparkSession
     stages = Stages(spark, "suffix")
+    text_batches(spark)
+    docs = docs.drop("suffix_n_bytes", "suffix_spans", "suffix_bytes", "suffix_text", "suffix_sha256")
     whole = F.coalesce(F.col(text), F.lit(""))
     raw = docs.withColumn("suffix__th", F.unhex(F.md5(whole.cast("binary"))))
     slim = raw.select(F.col("suffix__th").alias("th"), whole.alias("text"), F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("id")).alias("id"))
@@ -397,9 +420,9 @@ def suffix_dedup(docs: DataFrame, *, length: int = 400, text: str = "text", doc_
     spans = stages.put(found.groupBy("th").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "spans")
     stages.drop(places)
     spans = spans.join(copies, "th", "left_anti")  # copies go as a whole
-    joined = raw.join(copies.select(F.col("th").alias("suffix__th"), "copies"), "suffix__th", "left").join(spans.select(F.col("th").alias("suffix__th"), F.col("a").alias("suffix__a"), F.col("b").alias("suffix__b")), "suffix__th", "left")
+    joined = raw.join(copies.select(F.col("th").alias("suffix__th"), F.col("copies").alias("suffix__n")), "suffix__th", "left").join(spans.select(F.col("th").alias("suffix__th"), F.col("a").alias("suffix__a"), F.col("b").alias("suffix__b")), "suffix__th", "left")
     base = docs.columns
-    ready = joined.select(*base, whole.alias("suffix__text"), F.coalesce("copies", F.lit(1)).alias("suffix__copies"), "suffix__a", "suffix__b")
+    ready = joined.select(*base, whole.alias("suffix__text"), F.coalesce("suffix__n", F.lit(1)).alias("suffix__copies"), "suffix__a", "suffix__b")
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     added = {"suffix_n_bytes": T.LongType(), "suffix_spans": spans_type}
     added |= {"suffix_sha256": T.StringType()} if digest else {"suffix_bytes": T.BinaryType(), "suffix_text": T.StringType()}

@@ -29,6 +29,7 @@ def chain_labels(labels: DataFrame) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, categories: list[str], reject: str, threshold: float = 0.5, max_rows: int = MAX_ROWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with tox_<category> for each category, and tox_rejected: is that of ``reject`` at the threshold or above?"""
+    docs = docs.drop("tox_rejected", *[f"tox_{c}" for c in categories])
     rows, buckets, targets = labelled_sample(docs, labels, categories, max_rows=max_rows, text=text, doc_id=doc_id)
     chain = Chain().fit(rows, buckets, targets)
     scored = with_probabilities(docs, chain, [f"tox_{c}" for c in categories], text=text)
