@@ -14,8 +14,8 @@ from .common import BYTE_CODE_LOWER, U64, frees_memory, mix, prefix_hashes, span
 
 #: Buckets of hashed features: 2 ** FEATURE_BITS.
 FEATURE_BITS = 18
-#: Bytes of a longer word's beginning that are a feature too.
-STEM = 5
+#: Bytes of a longer word's beginnings that are features too.
+STEMS = (4, 5)
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -49,9 +49,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     prefix = prefix_hashes(data, BYTE_CODE_LOWER)
     h = mix(span_hashes(prefix, starts, ends) + (ends - starts).astype(U64))
     pairs = np.unique((rows << FEATURE_BITS) | (h >> U64(64 - FEATURE_BITS)).astype(np.int64))
-    long = np.flatnonzero(ends - starts > STEM)  # the beginnings of longer words
-    stems = mix(span_hashes(prefix, starts[long], starts[long] + STEM) ^ U64(0xA5A5A5A5A5A5A5A5))
-    stems = np.unique((rows[long] << FEATURE_BITS) | (stems >> U64(64 - FEATURE_BITS)).astype(np.int64))
+    stems = []
+    for size in STEMS:
+        long = np.flatnonzero(ends - starts > size)
+        stem = mix(span_hashes(prefix, starts[long], starts[long] + size) ^ U64(0xA5A5A5A5A5A5A500 + size))
+        stems.append(np.unique((rows[long] << FEATURE_BITS) | (stem >> U64(64 - FEATURE_BITS)).astype(np.int64)))
     words = np.bincount(rows, minlength=rows_n)
     kinds = np.bincount(pairs >> FEATURE_BITS, minlength=rows_n)
     size = np.maximum(1, np.diff(offsets))
@@ -60,7 +62,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     bins = np.minimum((stats * 16).astype(np.int64), 20)
     some = np.flatnonzero(np.diff(offsets) > 0)
     extra = [(some << FEATURE_BITS) | (mix((bins[k][some] + 32 * (k + 1)).astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - FEATURE_BITS)).astype(np.int64) for k in range(len(bins))]
-    pairs = np.unique(np.concatenate([pairs, stems, *extra]))
+    pairs = np.unique(np.concatenate([pairs, *stems, *extra]))
     return pairs >> FEATURE_BITS, pairs & ((1 << FEATURE_BITS) - 1)
 
 
