@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import suppress
-from functools import wraps
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +22,12 @@ U64 = np.uint64
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="callgrove-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+
+
+@cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="callgrove-")
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -48,7 +48,8 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     # the byte comparison: members against the text of their group's first row
     members = stages.put(joined.where("dedup__size > 1").withColumn("dedup__text", normalised(F.col(text))), "members")
     is_first = ident.eqNullSafe(F.col("dedup_keep_id"))
-    first = members.where(is_first).groupBy("dedup__hash").agg(F.min("dedup__text").alias("dedup__first"))
+    # staged, so that the join has plain exchanges on both sides, whose hot keys Spark can split
+    first = stages.put(members.where(is_first).groupBy("dedup__hash").agg(F.min("dedup__text").alias("dedup__first")), "first")
     compared = members.join(first, "dedup__hash").withColumn("dedup__equal", F.col("dedup__text") == F.col("dedup__first")).drop("dedup__first")
     odd = stages.put(compared.where("not dedup__equal"), "odd")
     fewer = odd.groupBy("dedup__hash").agg(F.count("*").alias("dedup__odd"))

@@ -318,7 +318,7 @@ def ngram_components(docs: DataFrame, *, words: int = 5, percent: int = 80, text
 
     # each set with one set of its n-gram and band, and of the band below: that with the fewest n-grams of its own,
     # which is the most likely to be what the others were made from
-    pivots = posts.groupBy("token", F.col("band").alias("b")).agg(F.min(F.struct("s.own", "s")).alias("p")).select("token", "b", F.col("p.s").alias("p"))
+    pivots = stages.put(posts.groupBy("token", F.col("band").alias("b")).agg(F.min(F.struct("s.own", "s")).alias("p")).select("token", "b", F.col("p.s").alias("p")), "pivots")
     tested = stages.put(candidates(reach.join(pivots, ["token", "b"]).select("p", F.col("s").alias("q"))), "star")
     links = stages.put(verified(tested, sets, percent, vertical=vertical).select("x", "y"), "links")
     found = connected_components(links, stages, "x", "y")
@@ -326,7 +326,7 @@ def ngram_components(docs: DataFrame, *, words: int = 5, percent: int = 80, text
     # what is left: pairs of different components that share a prefix n-gram
     label = found.select(F.col("node").alias("key"), F.col("component").alias("c"))
     named = reach.withColumn("key", F.col("s.key")).join(label, "key", "left").withColumn("c", F.coalesce("c", "key"))
-    mixed = named.groupBy("token", "b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token", "b")
+    mixed = stages.put(named.groupBy("token", "b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token", "b"), "mixed")
     named = stages.put(named.join(mixed, ["token", "b"]).select("token", "b", "band", "s", "c"), "named")
     left = named.where("band = b").select("token", "b", F.col("s").alias("p"), F.col("c").alias("cp"))
     right = named.select("token", "b", F.col("s").alias("q"), F.col("c").alias("cq"), "band")

@@ -411,7 +411,7 @@ def suffix_dedup(docs: DataFrame, *, length: int = 400, text: str = "text", doc_
     copies = stages.put(slim.groupBy("th").agg(F.count("*").alias("copies"), F.min("id").alias("first")).where("copies > 1"), "copies")
     places = stages.put(slim.where(F.octet_length("text") >= length).select("th", "text").mapInArrow(partial(_anchors, length=length), "th binary, pos int, gram long"), "anchors")
     # grams that only copies share count as shared too; that costs a little and changes nothing
-    often = places.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
+    often = stages.put(places.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"), "often")
     shared = places.join(often, "gram").groupBy("th").agg(F.collect_set(F.struct("pos", "gram", (F.col("c") > HOT).alias("hot"))).alias("places"))
     # one row stands for its copies
     first = slim.join(copies.select("th", "first"), "th", "left").where(F.col("first").isNull() | (F.col("first") == F.col("id")))
