@@ -66,7 +66,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return pairs >> FEATURE_BITS, pairs & ((1 << FEATURE_BITS) - 1)
 
 
-_SAMPLE_DDL = "key long, buckets array<int>"
+_SAMPLE_DDL = "key long, buckets binary"
 
 
 @frees_memory
@@ -75,8 +75,9 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for a, b, data, offsets in text_slices(batch, "text"):
             rows, buckets = features(data, offsets)
             cuts = np.searchsorted(rows, np.arange(b - a + 1))
-            lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(buckets.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["key", "buckets"])
+            narrow = buckets.astype(np.int32)
+            lists = [narrow[x:y].tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lists, pa.binary())], names=["key", "buckets"])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], *, max_rows: int, text: str, doc_id: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,11 +92,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], *, m
     spark = docs.sparkSession
     keys = spark.createDataFrame([(k,) for k in targets], "key long")
     found = docs.select(F.col(doc_id).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(keys), "key")
-    got = {r.key: r.buckets for r in found.mapInArrow(_sample_features, _SAMPLE_DDL).collect()}
+    got = {r.key: bytes(r.buckets) for r in found.mapInArrow(_sample_features, _SAMPLE_DDL).collect()}
     order = sorted(got)
-    sizes = [len(got[k]) for k in order]
-    rows = np.repeat(np.arange(len(order)), sizes)
-    buckets = np.fromiter((b for k in order for b in got[k]), np.int64, sum(sizes))
+    rows = np.repeat(np.arange(len(order), dtype=np.int32), [len(got[k]) // 4 for k in order])
+    buckets = np.frombuffer(b"".join(got[k] for k in order), np.int32)
     return rows, buckets, np.array([targets[k] for k in order], float).reshape(len(order), len(columns))
 
 
