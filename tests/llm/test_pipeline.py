@@ -83,3 +83,23 @@ def test_run_is_the_stages(spark, sf_dir, steps):
 def test_one_query_for_each_operator():
     numbers = [int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES]
     assert sorted(numbers) == list(range(1, 11)) and set(registry.SQL) <= set(registry.QUERIES)
+
+
+ODD = [(1, "plain text of some words", "en", "s", 5), (1, "plain text of some words", "en", "s", 5), (2, None, None, None, None), (None, "no id here", "de", "s", 1), (3, "", "en", None, 0), (4, "ü" * 3000, "de", "s", 3000), (5, "ü" * 2999 + "x", "de", "s", 3000), (6, " \n\t", "xx", "s", 3)]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in P.STAGES], ids=[n for n, _ in P.STAGES])
+def test_stages_take_odd_rows(spark, sf_dir, stage):
+    ddl = "doc_id long, text string, lang string, source string, n_chars long"
+    wide = spark.createDataFrame([(*r, "c", 1) for r in ODD], ddl + ", copies string, length int")
+    got = stage(spark, wide, sf_dir)
+    rows = got.collect()
+    ids = {r.doc_id for r in rows}
+    assert {1, 3, 4} <= ids or stage is P.drop_copies and {1, 2, 4} <= ids
+    if stage is not P.pack:
+        assert got.columns == wide.columns and all(r.copies == "c" for r in rows)
+    if stage is P.drop_copies:
+        assert sorted(i for i in (r.doc_id for r in rows) if i is not None) == [1, 2, 4, 5, 6] and None in ids
+    if stage is P.cut_repeats:
+        assert {r.text for r in rows if r.doc_id in (4, 5)} <= {"", "x", "üx"}
+    assert stage(spark, wide.limit(0), sf_dir).count() == 0
