@@ -16,9 +16,12 @@ Method: a sparse suffix array, sorted with hash-compared suffixes.
 4. Collision verification. The order of neighbours and each repeat found are compared byte by byte; if any differs, the group is done again over
    the bytes themselves.
 
-A text that occurs more than once is a repeat as a whole; one of its rows stands for all as a partner. K-grams with very
-many places are split by what stands next to them on either side (any string of ``length`` bytes holds half of the reach on
-one side at least). What remains in one task are the different surroundings of one such longer string, at about 700 bytes each.
+A text that occurs more than once is a repeat as a whole; one of its rows stands for all as a partner.
+
+K-grams with more than ``HOT`` places (a passage that a third of all documents share) aren't gathered in a task. Their surroundings are
+cut into batches; each batch tells the hashes of its windows at every offset, each once, to tasks that own a range of hashes; these
+answer which ones other batches have too, and the batch draws the ends of its repeats from the answers. What one passage's windows
+cost is then one hash a batch, however many documents have it.
 
 Edge cases. Null text is empty. Texts shorter than ``length`` lose nothing. Repeated rows are copies and lose
 everything if they are long enough. Null ids are allowed. An empty table gives no rows. In ``suffix_text`` a
@@ -41,8 +44,8 @@ from .common import BASE, U64, Stages, frees_memory, mix, partitions, powers, pr
 
 #: Neighbours that are tried on either side before a group's offsets are all tried.
 NEIGHBOURS = 8
-#: Places of one k-gram from which it is split by what stands next to it.
-HOT = 20_000
+#: Places of one k-gram from which on its surroundings aren't gathered in one task.
+HOT = 100_000
 
 _ANCHORS = pa.schema([("th", pa.binary()), ("pos", pa.int32()), ("gram", pa.int64())])
 _CONTEXTS = pa.schema([("gram", pa.int64()), ("left", pa.int32()), ("context", pa.binary()), ("ths", pa.binary()), ("places", pa.binary())])
@@ -99,39 +102,36 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 @frees_memory
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """th, text, places as array of (pos, gram, hot): what stands around each anchor; equal ones of a batch once."""
-    k = gram_size(length)
-    reach, half = length - k, (length - k) // 2
+    """th, text, places as array of (pos, gram): what stands around each anchor; equal ones of a batch once."""
     for batch in batches:
-        seen: dict[tuple[int, int, bytes], list] = {}
-        size = 0
-        for th, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            raw = text.as_buffer().to_pybytes()
-            flat = places.values
-            for pos, gram, hot in zip(flat.field(0).to_pylist(), flat.field(1).to_pylist(), flat.field(2).to_pylist(), strict=True):
-                a = max(0, pos - reach)
-                context = raw[a : pos + length]
-                keys = [gram]
-                if hot:  # by the text on the right, and by that on the left
-                    keys = []
-                    if len(raw) - pos >= k + half:
-                        keys.append(int.from_bytes(hashlib.blake2b(raw[pos : pos + k + half], digest_size=8, salt=b"r").digest(), "little", signed=True))
-                    if pos >= half:
-                        keys.append(int.from_bytes(hashlib.blake2b(raw[pos - half : pos + k], digest_size=8, salt=b"l").digest(), "little", signed=True))
-                for key in keys:
-                    item = seen.get((key, pos - a, context))
-                    if item is None:
-                        seen[key, pos - a, context] = item = [[], []]
-                        size += len(context)
-                    item[0].append(th)
-                    item[1].append(pos)
-            if size > 8 << 20:
-                yield _context_rows(seen)
-                seen, size = {}, 0
-        if seen:
+        for seen in _surroundings(batch, length, 8 << 20):
             yield _context_rows(seen)
 
 
+def _surroundings(batch: pa.RecordBatch, length: int, most: int) -> Iterator[dict[tuple[int, int, bytes], list]]:
+    """{(gram, bytes on the left, context): [texts' hashes, places]} of about ``most`` bytes."""
+    reach = length - gram_size(length)
+    seen: dict[tuple[int, int, bytes], list] = {}
+    size = 0
+    for th, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+        raw = text.as_buffer().to_pybytes()
+        flat = places.values
+        for pos, gram in zip(flat.field(0).to_pylist(), flat.field(1).to_pylist(), strict=True):
+            a = max(0, pos - reach)
+            key = gram, pos - a, raw[a : pos + length]
+            item = seen.get(key)
+            if item is None:
+                seen[key] = item = [[], []]
+                size += len(key[2])
+            item[0].append(th)
+            item[1].append(pos)
+        if size > most:
+            yield seen
+            seen, size = {}, 0
+    if seen:
+        yield seen
+
+
 def _context_rows(seen: dict) -> pa.RecordBatch:
     keys = list(seen)
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int32()), pa.array([x[2] for x in keys], pa.binary()), pa.array([b"".join(v[0]) for v in seen.values()], pa.binary()), pa.array([np.array(v[1], np.int32).tobytes() for v in seen.values()], pa.binary())], schema=_CONTEXTS)
@@ -344,6 +344,97 @@ def _sorted_repeats(batches: Iterator[pa.RecordBatch], length: int, chunk: int =
             todo, size = [], 0
 
 
+_BATCH = pa.schema([("batch", pa.int64()), ("grams", pa.binary()), ("lefts", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary()), ("owners", pa.binary()), ("ths", pa.binary()), ("places", pa.binary())])
+_BATCH_DDL = "batch long, grams binary, lefts binary, sizes binary, data binary, owners binary, ths binary, places binary"
+_HASHES = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary())])
+
+
+@frees_memory
+def _hot_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Surroundings of hot anchors in rows of about 1 MB, which are the batches from here on."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for seen in _surroundings(batch, length, 1 << 20):
+            values = list(seen.values())
+            owners = np.repeat(np.arange(len(values), dtype=np.int32), [len(v[1]) for v in values])
+            numbers = lambda x, kind: np.array(list(x), kind).tobytes()
+            columns = [number, numbers((k[0] for k in seen), np.int64), numbers((k[1] for k in seen), np.int32), numbers((len(k[2]) for k in seen), np.int32), b"".join(k[2] for k in seen), owners.tobytes(), b"".join(t for v in values for t in v[0]), numbers((p for v in values for p in v[1]), np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, _BATCH, strict=True)], schema=_BATCH)
+            number += 1
+
+
+def _windows(row: dict, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each offset of a window before its anchor: which surroundings have it, and hashes of gram, offset and window."""
+    grams, lefts = np.frombuffer(row["grams"], np.int64), np.frombuffer(row["lefts"], np.int32).astype(np.int64)
+    sizes = np.frombuffer(row["sizes"], np.int32).astype(np.int64)
+    base = np.cumsum(sizes) - sizes + lefts
+    prefix = prefix_hashes(np.frombuffer(row["data"], np.uint8))
+    salt = mix(grams.view(U64).copy())
+    for o in range(length - gram_size(length) + 1):
+        has = np.flatnonzero((lefts >= o) & (sizes - lefts >= length - o))
+        if len(has):
+            yield o, has, mix(span_hashes(prefix, base[has] - o, base[has] - o + length) + salt[has] + U64(o + 1) * U64(BASE // 3))
+
+
+@frees_memory
+def _hot_windows(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, batch, hashes): all window hashes of a batch, each once, dealt by their range."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            hashes = [h for _, _, h in _windows(row, length)]
+            if not hashes:
+                continue
+            hashes = np.unique(np.concatenate(hashes))
+            part = ((hashes >> U64(32)) * U64(buckets)) >> U64(32)
+            cuts = np.searchsorted(part, np.arange(buckets + 1))
+            kept = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array([row["batch"]] * len(kept), pa.int64()), pa.array([hashes[cuts[b] : cuts[b + 1]].tobytes() for b in kept], pa.binary())], schema=_HASHES)
+
+
+@frees_memory
+def _hot_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, batch, hashes): of each batch those that another batch has too."""
+    held: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for batch in batches:
+        for bucket, number, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            held.setdefault(bucket, []).append((number, np.frombuffer(raw, U64)))
+    for bucket in list(held):
+        items = held.pop(bucket)
+        values, counts = np.unique(np.concatenate([h for _, h in items]), return_counts=True)
+        values = values[counts > 1]
+        for number, h in items:
+            at = np.minimum(np.searchsorted(values, h), max(0, len(values) - 1))
+            both = h[values[at] == h] if len(values) else h[:0]
+            if len(both):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([number], pa.int64()), pa.array([both.tobytes()], pa.binary())], schema=_HASHES)
+
+
+@frees_memory
+def _hot_spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Batches with the hashes that others have too: what repeats cover around each place."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            known = np.unique(np.frombuffer(b"".join(row["others"] or []), U64))
+            owners = np.frombuffer(row["owners"], np.int32)
+            lefts, sizes = np.frombuffer(row["lefts"], np.int32).astype(np.int64), np.frombuffer(row["sizes"], np.int32).astype(np.int64)
+            twice = np.bincount(owners, minlength=len(lefts)) > 1
+            left, right = np.zeros(len(lefts), np.int64), np.zeros(len(lefts), np.int64)
+            for o, has, h in _windows(row, length):
+                _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
+                hit = twice[has] | (counts[inverse] > 1)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    hit |= known[at] == h
+                left[has[hit]] = o
+                right[has[hit]] = np.maximum(right[has[hit]], length - o)
+            found = np.flatnonzero(right[owners] > 0)
+            if len(found):
+                pos, ths = np.frombuffer(row["places"], np.int32).astype(np.int64)[found], row["ths"]
+                yield pa.RecordBatch.from_arrays([pa.array([ths[16 * i : 16 * i + 16] for i in found.tolist()], pa.binary()), pa.array((pos - left[owners[found]]).astype(np.int32)), pa.array((pos + right[owners[found]]).astype(np.int32))], schema=_SPANS)
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -396,7 +487,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch], added: list[str], length: int, d
         yield pa.RecordBatch.from_arrays(arrays, names=[*names, *added])
 
 
-def suffix_dedup(docs: DataFrame, *, length: int = 400, text: str = "text", doc_id: str = "doc_id", digest: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, length: int = 400, text: str = "text", doc_id: str = "doc_id", digest: bool = False, hot: int = HOT) -> DataFrame:
     """``docs`` with suffix_n_bytes, suffix_spans (what goes), suffix_bytes and suffix_text (what stays).
 
     digest: instead of the last two only suffix_sha256 of the bytes that stay.
@@ -412,11 +503,21 @@ def suffix_dedup(docs: DataFrame, *, length: int = 400, text: str = "text", doc_
     places = stages.put(slim.where(F.octet_length("text") >= length).select("th", "text").mapInArrow(partial(_anchors, length=length), "th binary, pos int, gram long"), "anchors")
     # grams that only copies share count as shared too; that costs a little and changes nothing
     often = stages.put(places.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"), "often")
-    shared = places.join(often, "gram").groupBy("th").agg(F.collect_set(F.struct("pos", "gram", (F.col("c") > HOT).alias("hot"))).alias("places"))
     # one row stands for its copies
     first = slim.join(copies.select("th", "first"), "th", "left").where(F.col("first").isNull() | (F.col("first") == F.col("id")))
-    contexts = first.join(shared, "th").select("th", "text", "places").mapInArrow(partial(_contexts, length=length), "gram long, left int, context binary, ths binary, places binary")
+
+    def around(grams: DataFrame) -> DataFrame:
+        shared = places.join(grams, "gram").groupBy("th").agg(F.collect_set(F.struct("pos", "gram")).alias("places"))
+        return first.join(shared, "th").select("th", "text", "places")
+
+    contexts = around(often.where(F.col("c") <= hot)).mapInArrow(partial(_contexts, length=length), "gram long, left int, context binary, ths binary, places binary")
     found = contexts.repartition(4 * partitions(spark), "gram").mapInArrow(partial(_sorted_repeats, length=length), "th binary, a int, b int")
+    if often.where(F.col("c") > hot).limit(1).count():
+        buckets = 4 * partitions(spark)
+        hot_rows = stages.put(around(often.where(F.col("c") > hot)).mapInArrow(partial(_hot_batches, length=length), _BATCH_DDL), "hot")
+        told = hot_rows.mapInArrow(partial(_hot_windows, length=length, buckets=buckets), "bucket int, batch long, hashes binary")
+        answers = told.repartition(buckets, "bucket").mapInArrow(_hot_matches, "bucket int, batch long, hashes binary").groupBy("batch").agg(F.collect_list("hashes").alias("others"))
+        found = found.union(hot_rows.join(answers, "batch", "left").mapInArrow(partial(_hot_spans, length=length), "th binary, a int, b int"))
     spans = stages.put(found.groupBy("th").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "spans")
     stages.drop(places)
     spans = spans.join(copies, "th", "left_anti")  # copies go as a whole
