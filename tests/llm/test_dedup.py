@@ -173,12 +173,10 @@ def in_process(texts, length):
     return [suffix_dedup._without(raw, m) for raw, m in ((t, suffix_dedup.merged(spans.get(d, []))) for d, t in enumerate(texts))]
 
 
-@pytest.mark.parametrize("mode", ["plain", "hot"])
-def test_suffixes(spark, monkeypatch, mode):
-    if mode == "hot":
-        monkeypatch.setattr(suffix_dedup, "HOT", 2)
+@pytest.mark.parametrize("hot", [20_000, 5, 1], ids=["sorted", "some hot", "all hot"])
+def test_suffixes(spark, hot):
     rows = suffix_rows()
-    got = {r.doc_id: r for r in cut(docs(spark, rows), length=40).collect()}
+    got = {r.doc_id: r for r in cut(docs(spark, rows), length=40, hot=hot).collect()}
     for (i, t), (kept, spans) in zip(rows, suffix_brute(rows, 40), strict=True):
         assert (bytes(got[i].suffix_bytes), len(got[i].suffix_spans)) == (kept, spans), (i, t)
         assert got[i].suffix_text is not None and got[i].copies == "c"
