@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import suppress
-from functools import cache, wraps
+from functools import cache, partial, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -80,11 +80,23 @@ def text_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def frees_memory(function: Callable) -> Callable:
-    """For functions over Arrow batches: when a task is done, its worker gives free memory back before the next one."""
+_TABLES: list[Callable] = []
+
+
+def frees_memory(function: Callable | None = None, *, keeps: Callable | None = None) -> Callable:
+    """For functions over Arrow batches: when a task is done, its worker gives free memory back before the next one.
+
+    keeps: a cached function whose tables serve one task after the other; they go when the worker turns to another function.
+    """
+    if function is None:
+        _TABLES.append(keeps)
+        return partial(frees_memory, keeps=keeps)
 
     @wraps(function)
     def run(*args, **options):
+        for table in _TABLES:
+            if table is not keeps:
+                table.cache_clear()
         try:
             yield from function(*args, **options)
         finally:

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -66,14 +67,14 @@ class _Table(dict):
 class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit numbers, by the tokenizer's file."""
 
-    def __init__(self, path: str, end_id: int | None = 0, table: int = 150_000):
+    def __init__(self, path: str, end_id: int | None = 0, table: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.encode = Tokenizer.from_file(path).encode
         self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         self.split, self.plain = regex.compile(_PATTERN), regex.compile(_PLAIN)
         self.by_word = self._splits_by_word(path)
-        words = _Table(self._encoded, table).__getitem__
+        words = _Table(self._encoded, table // 2).__getitem__
         # between white space; a chunk's words don't depend on its neighbours
         self.chunk = _Table(lambda chunk: b"".join(map(words, self.split.findall(chunk))), table).__getitem__
 
@@ -87,7 +88,7 @@ class Encoder:
         return kinds == ["NFC", "Replace", "Lowercase"] and pattern == _PATTERN
 
     def _encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -107,7 +108,7 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
 
 
-@frees_memory
+@frees_memory(keeps=encoder)
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, size: int, emit_ids: bool) -> Iterator[pa.RecordBatch]:
     encode = encoder(path, end_id)
     for batch in batches:
