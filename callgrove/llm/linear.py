@@ -163,6 +163,10 @@ class Chain:
 
     def fit(self, rows: np.ndarray, buckets: np.ndarray, targets: np.ndarray) -> Chain:
         n = len(targets)
+        if len(buckets):  # features of too few rows are never chosen, in no fold either; they needn't be copied
+            keep = np.bincount(buckets, minlength=1 << FEATURE_BITS)[buckets] >= Logistic(**self.options).least_rows
+            rows, buckets = rows[keep], buckets[keep]
+            del keep
         fold = np.arange(n) % self.folds
         before: list[np.ndarray] = []
         for k in range(targets.shape[1]):
@@ -176,7 +180,7 @@ class Chain:
                 if not len(train) or not len(test):
                     out[test] = self.models[-1].predict(rows, buckets, dense, n)[test]
                     continue
-                place = np.full(n, -1)
+                place = np.full(n, -1, np.int32)
                 place[train] = np.arange(len(train))
                 mine = place[rows] >= 0
                 model = Logistic(**self.options).fit(place[rows[mine]], buckets[mine], dense[train], y[train])

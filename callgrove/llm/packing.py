@@ -67,7 +67,7 @@ class _Table(dict):
 class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit numbers, by the tokenizer's file."""
 
-    def __init__(self, path: str, end_id: int | None = 0, table: int = 400_000):
+    def __init__(self, path: str, end_id: int | None = 0, table: int = 300_000):
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode
@@ -76,7 +76,7 @@ class Encoder:
         self.by_word = self._splits_by_word(path)
         words = _Table(self._encoded, table // 2).__getitem__
         # between white space; a chunk's words don't depend on its neighbours
-        self.chunk = _Table(lambda chunk: b"".join(map(words, self.split.findall(chunk))), table).__getitem__
+        self.chunk = _Table(lambda chunk: words(chunk) if chunk.isalpha() else b"".join(map(words, self.split.findall(chunk))), table).__getitem__
 
     @staticmethod
     def _splits_by_word(path: str) -> bool:
