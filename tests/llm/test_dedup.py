@@ -239,6 +239,24 @@ def test_embeddings(spark):
     assert comp[5007] == 5006 and all(r.near_kept == (r.vec_id == r.near_component) for r in got if r.vec_id is not None)
 
 
+@pytest.mark.parametrize("together", [0.995, 0.97, 0.9])
+def test_embeddings_crowded(spark, together):
+    """A third of all vectors lie close together, each with its own jitter: all their links are found."""
+    rng = np.random.default_rng(7)
+    n, d = 6000, 64
+    x = rng.normal(size=(n, d))
+    centre = rng.normal(size=d)
+    x[::3] = centre / np.linalg.norm(centre) + x[::3] / np.sqrt(d) * np.sqrt(1 / together - 1)
+    x = x.astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    got = {r.vec_id: r for r in embedding_dedup(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), cosine=0.9).collect()}
+    found = np.array([got[i].near_links for i in range(n)])
+    assert want.sum() > 10**6 and (found <= want).all() and found.sum() >= 0.999 * want.sum()
+    crowd = np.flatnonzero(want > 100)
+    assert len({got[int(i)].near_component for i in crowd}) == 1
+
+
 def test_embeddings_empty(spark):
     assert embedding_dedup(vectors(spark, [(1, [1.0])]).limit(0)).count() == 0
     assert embedding_dedup(vectors(spark, [(1, None)])).collect()[0].near_component == 1
