@@ -7,8 +7,9 @@ log2 of it in bits) and the document's length; the language with the least wins,
 
 The whole text is parsed, in runs of ``RUN`` characters, so that many runs advance side by side: one table lookup a
 character and language for all runs of a batch. Each run starts a new phrase. The tables have at most
-``2 * sample_chars`` states a language; a sample holds whole documents with the least hash of their id up to ``sample_chars``
-characters (its bound is this parameter and doesn't depend on the corpus).
+``2 * sample_chars`` states a language; a sample holds excerpts of the documents with the least hash of their id up to ``sample_chars``
+characters (its bound is this parameter and doesn't depend on the corpus). An excerpt has at most a hundredth of the sample, more only
+where a language has too few documents to fill it so, and starts at a place told by the hash. Every language with labelled text has a sample.
 
 Characters: letters are lower-cased, all white space, digits and marks count as one separator, and letters that a language's
 sample lacks match nothing (a phrase of their own).
@@ -188,23 +189,39 @@ def _predict(batches: Iterator[pa.RecordBatch], shared, column: str = "text") ->
 
 
 def labelled_samples(docs: DataFrame, learn: Column, *, sample_chars: int, text: str, lang: str, doc_id: str) -> dict[str, list[str]]:
-    """For each language whole texts of the rows to learn from with the least hash of their id, up to ``sample_chars`` in all.
+    """For each language excerpts of the rows to learn from with the least hash of their id, up to ``sample_chars`` in all.
 
-    Two bounded steps: a share of each language's rows by hash of the id that is expected to be enough, then the first of these.
+    Excerpts are as short as still fill the sample. A share of each language's rows by hash of the id that is expected to be enough is
+    gathered; languages that it leaves short are read again with a larger share, at last with all rows.
     """
     known = docs.where(learn & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & (F.length(text) > 0))
-    sizes = {r[lang]: (r.n, r.chars) for r in known.groupBy(lang).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars")).collect()}
+    caps = [max(1, sample_chars // 100)]
+    while caps[-1] < sample_chars:
+        caps.append(min(sample_chars, 2 * caps[-1]))
+    length = F.length(text)
+    sums = [F.sum(F.least(length, F.lit(c))).alias(f"upto_{c}") for c in caps]
+    fill: dict[str, tuple[int, int]] = {}  # the excerpts' size, and what all rows give by it
+    for r in known.groupBy(F.col(lang).alias("lang")).agg(*sums).collect():
+        fill[r.lang] = next(((c, r[f"upto_{c}"]) for c in caps if r[f"upto_{c}"] >= sample_chars), (caps[-1], r[f"upto_{caps[-1]}"]))
     spot = F.pmod(F.xxhash64(doc_id), F.lit(1 << 30))
-    share = F.lit(0)
-    for name, (_, chars) in sizes.items():
-        share = F.when(F.col(lang) == name, int(min(1.0, 4 * sample_chars / chars) * (1 << 30))).otherwise(share)
-    got = known.where(spot <= share).select(F.col(lang).alias("lang"), F.col(text).alias("text"), spot.alias("spot"), F.col(doc_id).alias("id")).collect()
-    out: dict[str, list[str]] = {name: [] for name in sizes}
-    used = dict.fromkeys(sizes, 0)
-    for r in sorted(got, key=lambda r: (r.spot, r.id)):
-        if used[r.lang] < sample_chars:
-            out[r.lang].append(r.text[: sample_chars - used[r.lang]])
-            used[r.lang] += len(r.text)
+    out: dict[str, list[str]] = {}
+    short, more = list(fill), 4
+    while short:
+        share, size = F.lit(-1), F.lit(0)
+        for name in short:
+            cap, total = fill[name]
+            share = F.when(F.col(lang) == name, int(min(1.0, more * sample_chars / total) * (1 << 30))).otherwise(share)
+            size = F.when(F.col(lang) == name, cap).otherwise(size)
+        start = F.pmod(F.xxhash64(spot), F.greatest(length - size, F.lit(0)) + 1).cast("int") + 1
+        got = known.where(spot <= share).select(F.col(lang).alias("lang"), F.col(text).substr(start, size).alias("text"), spot.alias("spot"), F.col(doc_id).alias("id")).collect()
+        used = dict.fromkeys(short, 0)
+        out |= {name: [] for name in short}
+        for r in sorted(got, key=lambda r: (r.spot, r.id)):
+            if used[r.lang] < sample_chars:
+                out[r.lang].append(r.text[: sample_chars - used[r.lang]])
+                used[r.lang] += len(r.text)
+        short = [name for name in short if used[name] < min(sample_chars, fill[name][1]) and more * sample_chars < fill[name][1]]
+        more *= 16
     return {name: texts for name, texts in out.items() if texts}
 
 

@@ -214,6 +214,16 @@ def test_language(spark):
     assert language_id.language_id(docs(spark, ODD).limit(0), F.lit(True)).count() == 0
 
 
+def test_language_samples_of_long_and_uneven_texts(spark):
+    """Long texts, a huge one among short ones, tiny texts: every language has a full sample, from many documents."""
+    rows = [(i, f"{i:03d} " * 10_000, "long") for i in range(100, 130)] + [(200 + i, f"{i:03d} " * 25, "mixed") for i in range(60)] + [(300, "zzz " * 100_000, "mixed")]
+    rows += [(1000 + i, "ab", "tiny") for i in range(900)] + [(2000, "only one " * 5000, "one"), (2001, "few", "few")]
+    got = language_id.labelled_samples(docs(spark, rows), F.lit(True), sample_chars=1000, text="text", lang="lang", doc_id="doc_id")
+    assert {lang: sum(map(len, texts)) for lang, texts in got.items()} == {"long": 1000, "mixed": 1000, "tiny": 1000, "one": 1000, "few": 3}
+    assert len(got["long"]) >= 20 and len(got["mixed"]) >= 40 and len(got["tiny"]) == 500
+    assert sum(len(t) for t in got["mixed"] if "z" in t) <= 50
+
+
 # ---------------------------------------------------------------- preference pairs
 
 TURNS = "pair_id long, side string, turn long, role string, text string, start int, cut string"
