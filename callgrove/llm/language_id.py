@@ -78,21 +78,24 @@ class SuffixAutomaton:
         self.table = table[: len(nexts)].copy()
 
 
+def _lower(c: int) -> int:
+    return ord(chr(c).lower()[0]) if unicodedata.category(chr(c))[0] in "LM" else 0
+
+
 @cache
 def _lower_table() -> np.ndarray:
     """Code point to lower-cased letter, 0 for what is no letter; for the first 65,536 code points."""
-    out = np.zeros(1 << 16, np.int64)
-    for c in range(1 << 16):
-        if unicodedata.category(chr(c))[0] in "LM":
-            low = chr(c).lower()
-            out[c] = ord(low[0])
-    return out
+    return np.array([_lower(c) for c in range(1 << 16)], np.int64)
 
 
 def letters(points: np.ndarray) -> np.ndarray:
-    """Lower-cased letters, 0 for all else. Beyond the first 65,536 code points all count as letters of their own."""
+    """Lower-cased letters, 0 for all else. Beyond the first 65,536 code points the distinct ones are looked up."""
     wide = points >= 1 << 16
-    return np.where(wide, points, _lower_table()[np.where(wide, 0, points)])
+    out = _lower_table()[np.where(wide, 0, points)]
+    if wide.any():
+        there, inverse = np.unique(points[wide], return_inverse=True)
+        out[wide] = np.array([_lower(c) for c in there.tolist()], np.int64)[inverse]
+    return out
 
 
 def code_points(text: str) -> np.ndarray:

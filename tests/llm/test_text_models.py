@@ -224,6 +224,14 @@ def test_language_samples_of_long_and_uneven_texts(spark):
     assert sum(len(t) for t in got["mixed"] if "z" in t) <= 50
 
 
+def test_wide_symbols_are_no_letters(spark):
+    """Emoji and other symbols beyond the first 65,536 code points are und; letters there are letters, in lower case."""
+    rows = [(i, "the river walks slowly " * 4, "en") for i in range(6)] + [(10, "🙂🙂 🚀", "en"), (11, "𝄞🂡", "en"), (12, "𐐀𐐨", "en")]
+    got = {r.doc_id: r for r in language_id.language_id(docs(spark, rows), F.col("doc_id") < 6).collect()}
+    assert [(got[i].lang_pred, got[i].lang_score) for i in (10, 11)] == [("und", 0.0)] * 2 and got[12].lang_pred == "en"
+    assert language_id.letters(language_id.code_points("A🙂𐐀𐐨")).tolist() == [ord("a"), 0, 0x10428, 0x10428]
+
+
 # ---------------------------------------------------------------- preference pairs
 
 TURNS = "pair_id long, side string, turn long, role string, text string, start int, cut string"
