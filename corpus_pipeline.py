@@ -7,7 +7,7 @@ but the last return the columns of ``docs``. Columns that a stage doesn't know p
 2. exact_dedup: of equal texts the one with the smallest id stays.
 3. ngram_jaccard_join: of documents linked by five-word shingles at a similarity of 0.8 the one with the smallest id stays.
 4. suffix_array_dedup: passages of ``PASSAGE_BYTES`` bytes or more that also start elsewhere are cut out (a document can become empty).
-5. best_fit_packing: token ids in sequences of 2048.
+5. best_fit_packing: token ids in pieces with their place in sequences of 2048; ``packing.packed_sequences`` puts a sequence together.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = tokenized_pieces(docs, tokenizer=default_tokenizer(), size=2048).drop("ids")
+    pieces = tokenized_pieces(docs, tokenizer=default_tokenizer(), size=2048, emit_ids=True)
     return best_fit_packing(pieces, capacity=2048)
 
 

@@ -2,11 +2,13 @@
 
 import collections
 import re
+import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as P
-from callgrove.llm import registry
+from callgrove.llm import packing, registry
 
 from .test_dedup import jaccard_brute, suffix_brute
 
@@ -75,6 +77,20 @@ def test_packing(steps):
     assert set(texts(steps[3])) == {r.doc_id for r in steps[4].select("doc_id").collect()} and max(held.values()) <= 2048
 
 
+def test_packed_ids_are_the_texts(steps):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    parts = collections.defaultdict(dict)
+    for r in steps[4].collect():
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, np.int32).tobytes()) == r.ids_crc32
+        parts[r.doc_id][r.piece] = r.ids
+    for i, t in texts(steps[3]).items():
+        assert [x for _, ids in sorted(parts[i].items()) for x in ids] == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+    sequences = packing.packed_sequences(steps[4]).collect()
+    assert sum(len(s.ids) for s in sequences) == sum(len(ids) for p in parts.values() for ids in p.values()) and max(len(s.ids) for s in sequences) <= 2048
+
+
 def test_run_is_the_stages(spark, sf_dir, steps):
     key = lambda f: sorted(map(tuple, f.select("doc_id", "piece", "length", "ids_crc32").collect()))
     assert key(P.run(spark, sf_dir)) == key(steps[4])
