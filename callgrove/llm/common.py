@@ -21,8 +21,11 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one in local mode (tests), else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that driver and executors share")
+    return (found or _own_dir()).rstrip("/")
 
 
 @cache
@@ -241,6 +244,44 @@ def arrow_out(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def runs(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, .. size - 1 for each size."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+class IntTable:
+    """Values (0 or more) of whole numbers. Two slots for each key; whoever has no place in the first goes to the second, and the few left to a sorted rest."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 19):
+        self.bits = bits
+        self.keys, self.values = np.full((2, 1 << bits), -1, np.int64), np.full((2, 1 << bits), -1, np.int32)
+        rest = np.arange(len(keys))
+        for side in (0, 1):
+            slot = self._slots(keys[rest])[side]
+            _, first = np.unique(slot, return_index=True)
+            self.keys[side, slot[first]], self.values[side, slot[first]] = keys[rest[first]], values[rest[first]]
+            rest = np.delete(rest, first)
+        order = rest[np.argsort(keys[rest])]
+        self.rest_keys, self.rest_values = keys[order], values[order]
+
+    def _slots(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = key.astype(U64) * U64(BASE)
+        return (h >> U64(64 - self.bits)).astype(np.int32), ((h >> U64(64 - 2 * self.bits)) & U64((1 << self.bits) - 1)).astype(np.int32)
+
+    def get(self, key: np.ndarray) -> np.ndarray:
+        """-1 for keys that aren't there."""
+        one, two = self._slots(key)
+        out = np.where(self.keys[0, one] == key, self.values[0, one], np.int32(-1))
+        left = np.flatnonzero(out < 0)
+        slot, left_key = two[left], key[left]
+        out[left] = np.where(self.keys[1, slot] == left_key, self.values[1, slot], np.int32(-1))
+        if len(self.rest_keys):
+            left = left[out[left] < 0]
+            at = np.minimum(np.searchsorted(self.rest_keys, key[left]), len(self.rest_keys) - 1)
+            out[left] = np.where(self.rest_keys[at] == key[left], self.rest_values[at], np.int32(-1))
+        return out
+
+
 # ---------------------------------------------------------------- connected components
 
 
