@@ -16,7 +16,8 @@ Method: a sparse suffix array, sorted with hash-compared suffixes.
 4. Collision verification. The order of neighbours and each repeat found are compared byte by byte; if any differs, the group is done again over
    the bytes themselves.
 
-A text that occurs more than once is a repeat as a whole; one of its rows stands for all as a partner.
+A text that occurs more than once is a repeat as a whole; one of its rows stands for all as a partner. Texts are told apart by 128 bits
+of their SHA-256, for which, unlike MD5's, nobody can make two texts that agree.
 
 K-grams with more than ``HOT`` places (a passage that a third of all documents share) aren't gathered in a task. Their surroundings are
 cut into batches; each batch tells the hashes of its windows at every offset, each once, to tasks that own a range of hashes; these
@@ -477,27 +478,24 @@ def _cut_out(batches: Iterator[pa.RecordBatch], added: list[str], length: int, d
             out["n"].append(len(raw))
             out["spans"].append([{"start": x, "end": y} for x, y in spans])
             out["bytes"].append(hashlib.sha256(kept).hexdigest() if digest else kept)
-            if not digest:
-                out["text"].append(_without(raw, _whole_characters(raw, spans)).decode("utf-8", "replace"))
+            out["text"].append(_without(raw, _whole_characters(raw, spans)).decode("utf-8", "replace"))
         arrays = [batch.column(i) for i in range(batch.num_columns - 4)]
         names = batch.schema.names[:-4]
-        arrays += [pa.array(out["n"], pa.int64()), pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(out["bytes"], pa.string() if digest else pa.binary())]
-        if not digest:
-            arrays.append(pa.array(out["text"], pa.string()))
+        arrays += [pa.array(out["n"], pa.int64()), pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(out["bytes"], pa.string() if digest else pa.binary()), pa.array(out["text"], pa.string())]
         yield pa.RecordBatch.from_arrays(arrays, names=[*names, *added])
 
 
 def suffix_dedup(docs: DataFrame, *, length: int = 400, text: str = "text", doc_id: str = "doc_id", digest: bool = False, hot: int = HOT) -> DataFrame:
     """``docs`` with suffix_n_bytes, suffix_spans (what goes), suffix_bytes and suffix_text (what stays).
 
-    digest: instead of the last two only suffix_sha256 of the bytes that stay.
+    digest: instead of suffix_bytes only suffix_sha256, the SHA-256 of the bytes that stay.
     """
     spark = docs.sparkSession
     stages = Stages(spark, "suffix")
     text_batches(spark)
     docs = docs.drop("suffix_n_bytes", "suffix_spans", "suffix_bytes", "suffix_text", "suffix_sha256")
     whole = F.coalesce(F.col(text), F.lit(""))
-    raw = docs.withColumn("suffix__th", F.unhex(F.md5(whole.cast("binary"))))
+    raw = docs.withColumn("suffix__th", F.unhex(F.substring(F.sha2(whole.cast("binary"), 256), 1, 32)))
     slim = raw.select(F.col("suffix__th").alias("th"), whole.alias("text"), F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("id")).alias("id"))
     copies = stages.put(slim.groupBy("th").agg(F.count("*").alias("copies"), F.min("id").alias("first")).where("copies > 1"), "copies")
     places = stages.put(slim.where(F.octet_length("text") >= length).select("th", "text").mapInArrow(partial(_anchors, length=length), "th binary, pos int, gram long"), "anchors")
@@ -526,7 +524,8 @@ def suffix_dedup(docs: DataFrame, *, length: int = 400, text: str = "text", doc_
     ready = joined.select(*base, whole.alias("suffix__text"), F.coalesce("suffix__n", F.lit(1)).alias("suffix__copies"), "suffix__a", "suffix__b")
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     added = {"suffix_n_bytes": T.LongType(), "suffix_spans": spans_type}
-    added |= {"suffix_sha256": T.StringType()} if digest else {"suffix_bytes": T.BinaryType(), "suffix_text": T.StringType()}
+    added |= {"suffix_sha256": T.StringType()} if digest else {"suffix_bytes": T.BinaryType()}
+    added["suffix_text"] = T.StringType()
     schema = T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in added.items())])
     return ready.mapInArrow(partial(_cut_out, added=list(added), digest=digest, length=length), schema)
 
@@ -535,4 +534,4 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = suffix_dedup(docs, length=400, digest=True)
     removed = F.aggregate("suffix_spans", F.lit(0).cast("long"), lambda total, x: total + (x["end"] - x["start"]))
-    return out.select("doc_id", F.col("suffix_n_bytes").alias("n_bytes"), removed.alias("n_removed"), F.size("suffix_spans").cast("long").alias("n_spans"), F.col("suffix_sha256").alias("kept_sha256"))
+    return out.select("doc_id", F.col("suffix_n_bytes").alias("n_bytes"), removed.alias("n_removed"), F.size("suffix_spans").cast("long").alias("n_spans"), F.col("suffix_sha256").alias("kept_sha256"), F.col("suffix_text").alias("text"))
