@@ -7,7 +7,7 @@ its group's first row, a plain equi-join whose hot keys Spark splits. Rows that
 again by hash and text, which is exact.
 
 Edge cases. Null text counts as empty; empty texts are copies of each other. Null ids come after all others. Of repeated
-rows with the same id and text one stays. An empty table gives an empty result. Columns that the operator adds start
+rows with the same id and text one stays, the one whose other columns have the least hash. An empty table gives an empty result. Columns that the operator adds start
 with ``dedup_`` and replace none of the input's.
 """
 
@@ -64,7 +64,8 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     alone = same.where("dedup__twins = 1 or not dedup_kept")
     marked = [*result, "dedup__hash"]
     twins = same.where("dedup__twins > 1 and dedup_kept").select(marked).union(other.where("dedup_kept").select(marked))
-    order = Window.partitionBy("dedup__hash", "dedup_sha256", "dedup_keep_id").orderBy(F.lit(0))
+    rest_of_row = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    order = Window.partitionBy("dedup__hash", "dedup_sha256", "dedup_keep_id").orderBy(rest_of_row)
     twins = twins.withColumn("dedup_kept", F.row_number().over(order) == 1)
     rest = other.where("not dedup_kept")
     out = single.select(result)

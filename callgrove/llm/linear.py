@@ -83,8 +83,8 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], *, max_rows: int, text: str, doc_id: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket, targets) of at most max_rows labelled documents, those with the least hash of their id.
 
-    Rows of ``labels`` with a null id or label are left out; of repeated ids one row is used. The sample is bounded by
-    max_rows, so it can be broadcast and its features collected.
+    Rows of ``labels`` with a null id or label are left out. Of documents with the same id the one with the least features (as bytes) is used,
+    chosen before anything is collected: the sample is bounded by max_rows, so it can be broadcast and its features come to the driver.
     """
     known = labels.select(F.col(doc_id).cast("long").alias("key"), *columns).dropna().groupBy("key").agg(*[F.max(c).alias(c) for c in columns])
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(max_rows).collect()
@@ -92,7 +92,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], *, m
     spark = docs.sparkSession
     keys = spark.createDataFrame([(k,) for k in targets], "key long")
     found = docs.select(F.col(doc_id).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(keys), "key")
-    got = {r.key: bytes(r.buckets) for r in found.mapInArrow(_sample_features, _SAMPLE_DDL).collect()}
+    got = {r.key: bytes(r.buckets) for r in found.mapInArrow(_sample_features, _SAMPLE_DDL).groupBy("key").agg(F.min("buckets").alias("buckets")).collect()}
     order = sorted(got)
     rows = np.repeat(np.arange(len(order), dtype=np.int32), [len(got[k]) // 4 for k in order])
     buckets = np.frombuffer(b"".join(got[k] for k in order), np.int32)

@@ -14,7 +14,7 @@ Fitting uses at most ``max_rows`` labelled rows; all counts and strengths are ov
 
 Edge cases. Null text is empty; a null host or path is a site of its own. Documents without label count by the classifier. Null labels and labels of
 unknown documents are left out, of repeated labels the greatest holds. Without any label the prior is one half. Repeated rows count each.
-An empty table gives no rows. Added columns start with ``quality_``.
+An empty table gives no rows. All columns of ``docs`` but the text stay; added columns start with ``quality_`` and replace none of other names.
 """
 
 from __future__ import annotations
@@ -60,34 +60,45 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column, label: str = "quality", threshold: float = 0.5, soft_weight: float = 0.25, max_rows: int = MAX_ROWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with quality_p_doc (classifier), quality_p_host, quality_p_path, quality_posterior and quality_keep.
+    """``docs`` without its text, with quality_p_doc (classifier), quality_p_host, quality_p_path, quality_posterior and quality_keep.
 
     soft_weight: what a document without label counts for on its site.
     """
     stages = Stages(docs.sparkSession, "quality")
+    added = ["quality_p_doc", "quality_p_host", "quality_p_path", "quality_posterior", "quality_keep"]
+    docs = docs.drop(*added)
+    base = [c for c in docs.columns if c != text]
     rows, buckets, targets = labelled_sample(docs, labels, [label], max_rows=max_rows, text=text, doc_id=doc_id)
     chain = Chain().fit(rows, buckets, targets)
     prior = (float(targets.sum()) + 0.5) / (len(targets) + 1)
-    scored = with_probabilities(docs.withColumn("quality__host", host).withColumn("quality__path", path).select(doc_id, "quality__host", "quality__path", text), chain, ["quality_p_doc"], text=text).drop(text)
+    scored = with_probabilities(docs.withColumn("quality__host", host).withColumn("quality__path", path).select(*base, "quality__host", "quality__path", text), chain, ["quality_p_doc"], text=text).drop(text)
     known = labels.select(F.col(doc_id).alias("quality__id"), F.col(label).cast("double").alias("quality__label")).dropna().groupBy("quality__id").agg(F.max("quality__label").alias("quality__label"))
     scored = scored.join(known, F.col(doc_id) == F.col("quality__id"), "left").drop("quality__id")
-    scored = scored.withColumn("y", F.coalesce("quality__label", "quality_p_doc")).withColumn("w", F.when(F.col("quality__label").isNull(), soft_weight).otherwise(1.0))
+    scored = scored.withColumn("quality__y", F.coalesce("quality__label", "quality_p_doc")).withColumn("quality__w", F.when(F.col("quality__label").isNull(), soft_weight).otherwise(1.0))
     scored = stages.put(scored, "scored")
-    sites = stages.put(site_posteriors(scored.select(F.col("quality__host").alias("host"), F.col("quality__path").alias("path"), "y", "w")), "sites")
-    joined = scored.join(sites, F.col("quality__host").eqNullSafe(F.col("host")) & F.col("quality__path").eqNullSafe(F.col("path")))
-    own_s, own_n = F.col("w") * F.col("y"), F.col("w")  # out of what judges the document
-    p_host = (F.col("s_host") - own_s + F.col("k_host") * F.col("prior")) / (F.col("n_host") - own_n + F.col("k_host"))
+    sites = stages.put(site_posteriors(scored.select(F.col("quality__host").alias("host"), F.col("quality__path").alias("path"), F.col("quality__y").alias("y"), F.col("quality__w").alias("w"))), "sites")
+    sites = sites.select(*[F.col(c).alias(f"site__{c}") for c in sites.columns])
+    joined = scored.join(sites, F.col("quality__host").eqNullSafe(F.col("site__host")) & F.col("quality__path").eqNullSafe(F.col("site__path")))
+    site = lambda c: F.col(f"site__{c}")
+    own_s, own_n = F.col("quality__w") * F.col("quality__y"), F.col("quality__w")  # out of what judges the document
+    p_host = (site("s_host") - own_s + site("k_host") * site("prior")) / (site("n_host") - own_n + site("k_host"))
     joined = joined.withColumn("quality_p_host", p_host)
-    p_path = (F.col("s") - own_s + F.col("k_path") * F.col("quality_p_host")) / (F.col("n") - own_n + F.col("k_path"))
+    p_path = (site("s") - own_s + site("k_path") * F.col("quality_p_host")) / (site("n") - own_n + site("k_path"))
     joined = joined.withColumn("quality_p_path", p_path)
     odds = _logit(F.col("quality_p_doc")) - _logit(F.lit(prior)) + _logit(F.col("quality_p_path"))
     joined = joined.withColumn("quality_posterior", 1 / (1 + F.exp(-odds)))
-    return joined.select(doc_id, "quality_p_doc", "quality_p_host", "quality_p_path", "quality_posterior", (F.col("quality_posterior") >= threshold).alias("quality_keep"))
+    return joined.withColumn("quality_keep", F.col("quality_posterior") >= threshold).select(*base, *added)
+
+
+def url_site(url: Column) -> tuple[Column, Column]:
+    """Host and path section of a URL, as ``host`` and ``path`` of ``quality``: the host in lower case without ``www.``, the path's first part (empty at the top). Null for what is no URL."""
+    host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+    return host, F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), "^/([^/]*)", 1)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host: the document's source; path: its language section there (documents carry no URL)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = quality(docs, labels, host=F.col("source"), path=F.col("lang"))
     return out.select("doc_id", F.col("quality_p_doc").alias("p_doc"), F.col("quality_p_host").alias("p_host"), F.col("quality_p_path").alias("p_path"), F.col("quality_posterior").alias("posterior"), F.col("quality_keep").alias("keep"))
