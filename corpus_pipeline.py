@@ -27,21 +27,25 @@ PASSAGE_BYTES = 200
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the chain doesn't call toxic. Null and empty texts have no toxic words and stay; repeated rows share their fate; without labels nothing is rejected unless half or more of all is toxic by prior."""
     labels = chain_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity(docs, labels, categories=CATEGORIES, reject="toxic").where("not tox_rejected").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text (white space folded), that with the smallest id; null ids come last, null text counts as empty, of repeated rows one stays."""
     return exact_dedup(docs).where("dedup_kept").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each component of near copies. A document is its id: rows with the same id stay or go together, null ids as one. Texts without words link with nothing and stay."""
     found = ngram_components(docs, words=5, percent=80)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the passages that also start elsewhere. Texts without such a passage, null ones too, stay as they are; n_chars follows the text. Repeated rows are copies of each other and lose what is long enough."""
     cut = suffix_dedup(docs, length=PASSAGE_BYTES)
     changed = F.size("suffix_spans") > 0
     new = {"text": F.when(changed, F.col("suffix_text")).otherwise(F.col("text"))}
@@ -51,6 +55,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with token ids and places. Null and empty texts are the end token alone; repeated rows are packed each; null ids are allowed."""
     pieces = tokenized_pieces(docs, tokenizer=default_tokenizer(), size=2048, emit_ids=True)
     return best_fit_packing(pieces, capacity=2048)
 
