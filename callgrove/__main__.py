@@ -1,4 +1,4 @@
-"""python -m callgrove COMMAND: generate a corpus, validate a labelled set, audit leakage, score predictions."""
+"""python -m callgrove COMMAND: generate a corpus, validate a labelled set, audit leakage, score predictions, evaluate a paired run."""
 
 from __future__ import annotations
 
@@ -34,7 +34,7 @@ def validate(args: argparse.Namespace) -> None:
 
 def audit(args: argparse.Namespace) -> None:
     from .operators import audit as operator
-    from .operators.runs import file_sha256
+    from .sources.store import Store
     from .sources.suites import labelled_examples
 
     spark = _session()
@@ -42,7 +42,7 @@ def audit(args: argparse.Namespace) -> None:
     for path in args.train[1:]:
         train = train.unionByName(labelled_examples(spark, path))
     groups = {path: (labelled_examples(spark, path), None) for path in args.evaluation}
-    facts = {"file_sha256": {p: file_sha256(p) for p in [*args.train, *args.evaluation]}}
+    facts = {"file_sha256": {p: Store(spark, p.rpartition("/")[0] or ".").sha256(p.rpartition("/")[2]) for p in [*args.train, *args.evaluation]}}
     print(f"Leakage audit {operator.report(operator.audit(train, groups), args.output, **facts)['status']}")
 
 
@@ -57,6 +57,20 @@ def score(args: argparse.Namespace) -> None:
     print(json.dumps({"counts": row, "rates": rates}, indent=2))
 
 
+def evaluate(args: argparse.Namespace) -> None:
+    """Scores complete saved predictions of both variants, as a config file names them; inference itself is a hook of the library."""
+    from .operators.runs import Experiment, evaluate
+    from .sources.store import Store
+    from .sources.suites import labelled_examples, prefix_of_each
+
+    spark = _session()
+    folder, _, name = args.config.rpartition("/")
+    config = Store(spark, folder or ".").document(name)
+    suites = prefix_of_each({s: labelled_examples(spark, path) for s, path in config["suites"].items()}, args.limit, args.suite)
+    out = evaluate(spark, args.output, suites, Experiment(**config["experiment"]), settings=config.get("settings", {}), generation=config["generation"], score_only=True, output_format=args.format)
+    print(json.dumps(out, ensure_ascii=False, indent=2))
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="callgrove", description=__doc__)
     commands = parser.add_subparsers(required=True)
@@ -65,6 +79,7 @@ def main(argv: list[str] | None = None) -> int:
         (validate, [(("path",), {}), (("--mode",), {"default": "template", "choices": ["template", "pilot", "draft", "final"]})]),
         (audit, [(("--train",), {"nargs": "+", "required": True}), (("--evaluation",), {"nargs": "+", "required": True}), (("--output",), {"required": True})]),
         (score, [(("examples",), {}), (("predictions",), {}), (("--format",), {"default": "tagged", "choices": ["json", "tagged"]})]),
+        (evaluate, [(("config",), {}), (("output",), {}), (("--suite",), {"default": "all"}), (("--limit",), {"type": int}), (("--format",), {"default": "tagged", "choices": ["json", "tagged"]})]),
     ):
         command = commands.add_parser(function.__name__)
         for names, values in options:

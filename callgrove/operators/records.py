@@ -50,7 +50,7 @@ def example_rules() -> list[tuple[str, Column]]:
     names = F.transform("available_tools", lambda t: t["name"])
     should = F.coalesce("should_call_tool", F.lit(False))
     none = F.col("expected_tool_name").isNull() & F.col("expected_arguments").isNull()
-    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    tags, arguments = F.coalesce("tags", F.array().cast("array<string>")), json_kind("expected_arguments")
     return [
         *[text_rule(c) for c in ("id", "source", "language", "domain", "user_utterance")],
         ("dialect must be a non-empty string", F.col("dialect").isNotNull() & blank(F.col("dialect"))),
@@ -58,7 +58,8 @@ def example_rules() -> list[tuple[str, Column]]:
         ("available tool names must be unique", F.coalesce(F.size(F.array_distinct(names)) < F.size(names), F.lit(False))),
         ("should_call_tool must be a boolean", F.col("should_call_tool").isNull()),
         ("tool_name must be a non-empty string", should & blank(F.col("expected_tool_name"))),
-        ("arguments must be an object", should & F.coalesce(json_kind("expected_arguments") != "object", F.lit(True))),
+        ("arguments must contain only valid JSON values", should & F.coalesce(arguments == "invalid", F.lit(False))),
+        ("arguments must be an object", should & F.coalesce(arguments != "object", F.lit(True))),
         ("expected tool must be present in available_tools", should & ~F.coalesce(F.array_contains(names, F.col("expected_tool_name")), F.lit(False))),
         ("negative examples cannot include an expected tool call", ~should & ~none),
         ("tag must be a non-empty string", F.exists(tags, lambda t: blank(t))),
@@ -93,9 +94,9 @@ def result_rules() -> list[tuple[str, Column]]:
     ]
 
 
-def violations(rows: DataFrame, rules: list[tuple[str, Column]], *keys: str) -> DataFrame:
+def violations(rows: DataFrame, rules: list[tuple[str | Column, Column]], *keys: str) -> DataFrame:
     """(keys, rule, message): a row for each rule that a row breaks; rule is its place in the list."""
-    marked = rows.select(*keys, F.array(*[F.when(broken, F.struct(F.lit(i).alias("rule"), F.lit(message).alias("message"))) for i, (message, broken) in enumerate(rules)]).alias("v"))
+    marked = rows.select(*keys, F.array(*[F.when(broken, F.struct(F.lit(i).alias("rule"), (message if isinstance(message, Column) else F.lit(message)).alias("message"))) for i, (message, broken) in enumerate(rules)]).alias("v"))
     return marked.select(*keys, F.explode(F.filter("v", lambda x: x.isNotNull())).alias("v")).select(*keys, "v.rule", "v.message")
 
 

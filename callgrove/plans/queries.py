@@ -303,7 +303,7 @@ UNION ALL SELECT 'prompt_version must be a non-empty string' FROM events WHERE e
     "corpus_counts": "SELECT d AS dialect, s AS split, p AS should_call_tool, n, n AS prompts FROM (VALUES ('msa'), ('egyptian'), ('levantine'), ('gulf'), ('iraqi'), ('maghrebi')) a(d), (VALUES ('train', true, 800), ('validation', true, 200), ('train', false, 80), ('validation', false, 20)) b(s, p, n)",
     "corpus_gates": """SELECT gate, true AS ok FROM (VALUES ('expected 6000 calls and 600 no-call examples'), ('expected unique synthetic prompts'), ('one language'), ('all dialects'),
 ('every expected argument must appear in its user prompt'), ('expected tool must be available in its prompt'), ('every prompt must offer two distinct tools'),
-('message target must match the expected call'), ('no-call rows must have a plain assistant response'), ('balanced distractors'), ('balanced tool positions')) g(gate)""",
+('message target must match the expected call'), ('no-call rows must have a plain assistant response'), ('balanced distractors'), ('balanced tool positions'), ('prompt variation counts must match the design')) g(gate)""",
     "corpus_balance": "SELECT printf('look_up_%02d', i) AS expected_tool_name, CASE WHEN i IN (1, 4) THEN 1 ELSE 7 END AS competitors, CASE WHEN i IN (1, 4) THEN 0 ELSE 1 END AS spread, 300 AS first FROM range(10) t(i)",
     "windowed_events": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from callgrove.operators import ordinals, records, runs
 from callgrove.sources import benchmarks as B
 from callgrove.sources import readers as R
+from callgrove.sources.store import Store
 from callgrove.streaming import resume
 
 
@@ -119,11 +120,13 @@ def test_example_rules(spark):
 
 
 def test_run_record_and_resume(spark, tmp_path):
-    path = str(tmp_path / "run.json")
-    runs.ensure_run_record(path, {"a": 1})
-    runs.ensure_run_record(path, {"a": 1.0})
+    store = Store(spark, str(tmp_path))
+    store.pin("run.json", {"a": 1})
+    store.pin("run.json", {"a": 1.0})
     with pytest.raises(ValueError, match="different run"):
-        runs.ensure_run_record(path, {"a": 2})
+        store.pin("run.json", {"a": 2})
+    store.put("run.json", {"é": [1]})
+    assert store.document("run.json") == {"é": [1]} and store.names("*.json") == ["run.json"] and store.names("*.none") == [] and not store.exists("other")
     examples = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "ord long, id string")
     settings = {"model_id": "m", "model_revision": "r", "prompt_version": "p", "generation": {"n": 5}}
     file = str(tmp_path / "p.jsonl")
@@ -139,18 +142,122 @@ def test_run_record_and_resume(spark, tmp_path):
         runs.read_predictions(spark, file, examples.where("ord > 0"), **settings)
 
 
-def test_digest_gates(tmp_path):
+def test_bad_prediction_lines(spark, tmp_path):
+    examples = spark.createDataFrame([(0, "a"), (1, "b")], "ord long, id string")
+    good = {"example_id": "a", "generated_text": "", "model_id": "m", "model_revision": "r", "prompt_version": "p", "generation_config": {}, "latency_seconds": 1, "gpu_memory_mb": None}
+    settings = {"model_id": "m", "model_revision": "r", "prompt_version": "p", "generation": {}}
+    for line, says in [("{", "Expecting"), ("", "Expecting"), ("[1]", "list indices"), (json.dumps({k: v for k, v in good.items() if k != "gpu_memory_mb"}), "missing member: 'gpu_memory_mb'"), (json.dumps(good | {"latency_seconds": "1"}), "latency_seconds has a wrong type"), (json.dumps(good | {"latency_seconds": -1}), "finite non-negative"), (json.dumps(good | {"generation_config": []}), "generation_config has")]:
+        path = tmp_path / "bad.jsonl"
+        path.write_text(json.dumps(good) + "\n" + line + "\n", encoding="utf-8")
+        with pytest.raises(ValueError, match=f"line 2 of .*{says}"):
+            runs.read_predictions(spark, str(path), examples, **settings)
+
+
+def test_digest_gates(spark, tmp_path):
     (tmp_path / "f").write_bytes(b"x")
-    right = hashlib.sha256(b"x").hexdigest()
-    runs.require_digests(str(tmp_path), {"f": right}, {"f": right})
+    right, store = hashlib.sha256(b"x").hexdigest(), Store(spark, str(tmp_path))
+    runs.require_digests(store, {"f": right}, {"f": right})
     with pytest.raises(ValueError, match="hash mismatch: f"):
-        runs.require_digests(str(tmp_path), {"f": right}, {"f": "0"})
-    assert runs.verified_source(str(tmp_path), "f", right) == b"x"
+        runs.require_digests(store, {"f": right}, {"f": "0"})
+    assert runs.verified_source(store, "f", right) == b"x"
     with pytest.raises(ValueError, match="source hash mismatch"):
-        runs.verified_source(str(tmp_path), "f", "0")
+        runs.verified_source(store, "f", "0")
     assert runs.optimizer_steps(5280) == 990
 
 
+EXPERIMENT = runs.Experiment("m", "r", "p", {"base": "m", "adapter": "m+a"}, {"s": 2, "t": 2}, {"t": {"x": 2}}, {"rev": "1"}, "s", "t")
+
+
+def suite(spark, domains, choices=None):
+    ddl = "id string, should_call_tool boolean, expected_tool_name string, expected_arguments string, domain string, ord long, choices string, ground_truth string"
+    return spark.createDataFrame([(f"{d}{i}", True, "f", '{"a":1}', d, i, choices, "{}") for i, d in enumerate(domains)], ddl)
+
+
+def test_load_inputs_stops_at_the_first_difference(spark, tmp_path):
+    dump(tmp_path / "data/train.jsonl", [1], True)
+    dump(tmp_path / "bench/f.json", 2)
+    digest = lambda name: hashlib.sha256((tmp_path / name).read_bytes()).hexdigest()
+    run = {"model_id": "m", "model_revision": "r", "train_sha256": digest("data/train.jsonl")}
+    report = {"status": "passed", "train_sha256": run["train_sha256"], "rev": "1", "files": {"bench/f.json": digest("bench/f.json")}}
+    suites = {"s": lambda: suite(spark, "ab"), "t": lambda: suite(spark, "xx")}
+
+    def load(run=run, report=report, suites=suites, **more):
+        dump(tmp_path / "run/run.json", run)
+        dump(tmp_path / "reports/leakage_audit.json", report)
+        return runs.load_inputs(spark, str(tmp_path), str(tmp_path / "run"), EXPERIMENT, suites, hashed={"train_sha256": "data/train.jsonl"}, listed=("files",), **more)
+
+    found, frames = load()
+    assert found == run and set(frames) == {"s", "t"}
+
+    def broken():
+        raise ValueError("set is invalid")
+
+    for arguments, says in [
+        ({"run": run | {"model_revision": "z"}, "report": report | {"status": "blocked"}}, "pinned base"),
+        ({"report": report | {"status": "blocked", "train_sha256": "0"}}, "not passed"),
+        ({"report": report | {"train_sha256": "0", "rev": "2"}}, "hash mismatch: data/train.jsonl"),
+        ({"report": report | {"rev": "2", "files": {"bench/f.json": "0"}}}, "revisions"),
+        ({"report": report | {"files": {"bench/f.json": "0"}}, "checks": (broken,)}, "hash mismatch: bench/f.json"),
+        ({"checks": (broken,), "suites": suites | {"t": lambda: suite(spark, "xy")}}, "set is invalid"),
+        ({"suites": suites | {"t": lambda: suite(spark, "xy"), "s": lambda: suite(spark, "a")}}, "by domain"),
+        ({"suites": suites | {"s": lambda: suite(spark, "a")}}, "counts differ"),
+    ]:
+        with pytest.raises(ValueError, match=says):
+            load(**arguments)
+
+
+def test_evaluate_from_nothing_to_summary(spark, tmp_path):
+    suites = {"s": suite(spark, "ab"), "t": suite(spark, "xx", '{"a":[1,2]}')}
+    call = lambda n: json.dumps({"name": "f", "arguments": {"a": n}})
+
+    def generate(name, variant, pending):
+        text = F.when(F.lit(variant == "base") & (F.col("ord") == 0), F.lit("prose")).otherwise(F.lit(call(1 if name == "s" else 2)))
+        return pending.select("ord", F.col("id").alias("example_id"), text.alias("generated_text"), F.lit(EXPERIMENT.variants[variant]).alias("model_id"), F.lit("r").alias("model_revision"), F.lit("p").alias("prompt_version"), F.lit('{"n":1}').alias("generation_config"), F.lit(1.5).alias("latency_seconds"), F.lit(None).cast("double").alias("gpu_memory_mb"))
+
+    out = str(tmp_path / "out")
+    go = lambda **more: runs.evaluate(spark, out, suites, EXPERIMENT, settings={"k": 1}, generation={"n": 1}, **more)
+    with pytest.raises(ValueError, match="incomplete"):
+        go(score_only=True, generate=generate)
+    first = go(generate=generate)
+    assert first == go(score_only=True) == json.loads((tmp_path / "out/summary.json").read_text())
+    s, t = first["evaluations"]["s"], first["evaluations"]["t"]
+    assert s["complete"] and s["base"]["rates"]["exact_tool_call_accuracy"] == 0.5 and s["adapter"]["categories"]["a"]["correct"] == 1 and s["base"]["inference"]["generation_seconds"] == 3.0
+    assert t["adapter"]["accuracy"] == {"correct": 2, "total": 2, "accuracy": 1.0} and t["adapter"]["rates"]["exact_tool_call_accuracy"] == 0.0 and first["verdict"]["success"] is True
+    assert spark.read.json(out + "/s.paired").count() == 2
+    with pytest.raises(ValueError, match="different run"):
+        runs.evaluate(spark, out, suites, EXPERIMENT, settings={"k": 2}, generation={"n": 1})
+    (tmp_path / "out/run.json").unlink()
+    with pytest.raises(ValueError, match="without a run record"):
+        go(score_only=True)
+
+
+def test_metric_hooks(spark):
+    scored = spark.createDataFrame([(0, "a", "t", '{"x":1}', None), (1, "a", None, None, None), (2, "c", None, None, "bad")], "ord long, id string, tool_name string, arguments string, parse_error string")
+    source = spark.createDataFrame([(i, json.dumps({"want": w})) for i, w in enumerate(["t", None, None, "beyond"])], "ord long, row string")
+    answer = lambda row, response: {"ok": row["want"] == response["function_called"], "args": response["arguments"]}
+    count = lambda rows: {"right": rows.where(F.get_json_object("result", "$.ok") == "true").count(), "rows": rows.count()}
+    assert runs.official_metrics(source, scored, evaluate_response=answer, compute_metrics=count) == {"right": 2, "rows": 3}
+    with pytest.raises(ValueError, match="fewer source rows"):
+        runs.official_metrics(source.limit(1), scored, evaluate_response=answer, compute_metrics=count)
+
+
+def test_training_gates_and_lengths(spark):
+    from callgrove.operators.labelled import CATEGORIES
+
+    ddl = "category string, review_status string, review_note string, reference_date string"
+    good = [(c, "native_speaker_reviewed", " ", "2027-01-01") for c in CATEGORIES for _ in range(10)]
+    gates = lambda rows: {k for k, v in runs.training_gates(spark.createDataFrame(rows, ddl)).collect()[0].asDict().items() if not v}
+    assert gates(good) == set()
+    assert gates([(*good[0][:1], None, *good[0][2:]), *good[1:]]) == {"all_reviewed"}
+    assert gates([("other", *good[0][1:]), *good[1:]]) == {"ten_of_each_category"}
+    assert gates([(*good[0][:3], None), *good[1:]]) == {"one_date"}
+    assert gates([(*good[0][:2], "todo", good[0][3]), *good]) == {"hundred_rows", "no_notes", "ten_of_each_category"}
+    lengths = spark.createDataFrame([(3,), (512,)], "length int")
+    assert runs.require_lengths(lengths) == 512 and runs.require_lengths(lengths.limit(0)) == 0
+    with pytest.raises(ValueError, match="512 tokens, more than 511"):
+        runs.require_lengths(lengths, 511)
+
+
 def test_prompts_carry_no_labels(spark):
     ddl = "ord long, id string, user_utterance string, available_tools array<struct<name:string,description:string,parameters:string>>, expected_tool_name string"
     rows = spark.createDataFrame([(0, "a", "u", [("t", "d", "{}")], "GOLD")], ddl)
