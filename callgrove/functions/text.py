@@ -19,10 +19,17 @@ def normalize_prompt(text: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def normalized_prompt(texts: pd.Series) -> pd.Series:
+def _normalized(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: normalize_prompt(t) if isinstance(t, str) else None)
 
 
+def normalized_prompt(text: Column) -> Column:
+    """``normalize_prompt`` of a column. ASCII texts stay in the JVM: there, folding is lower case, and marks and symbols are the signs between the letters and digits."""
+    ascii_ = text.rlike(r"^[\x00-\x7F]*+$")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", " "), r"[\x09-\x0D\x1C-\x20]+", " ")
+    return F.when(ascii_, F.trim(plain)).otherwise(_normalized(F.when(~ascii_, text)))
+
+
 def blank(text: Column) -> Column:
     """Null, or nothing but Unicode white space."""
     return F.coalesce(F.regexp_replace(text, SPACE, "") == "", F.lit(True))

@@ -45,13 +45,17 @@ def target_overlap(train: DataFrame, evaluation: DataFrame) -> DataFrame:
 def alternatives_overlap(train: DataFrame, evaluation: DataFrame, answers: DataFrame) -> DataFrame:
     """Evaluation rows for which some training call is a permitted answer.
 
-    answers: id, tool, n_calls, choices (JSON object: argument to its list of alternatives). Equi-join on the tool; the
-    residual test is on maps of loose forms. Distinct training calls and one row per answer bound what a tool's join makes.
+    answers: id, tool, n_calls, choices (JSON object: argument to its list of alternatives). A permitted call's first argument, by name, has one of the
+    alternatives that the answer lists for it; so calls meet answers in an equi-join on tool, that argument and its value (no argument: a key of its
+    own), and only what meets there is tested in full.
     """
-    calls = expected_calls(train).select("tool", loose_members(F.col("args")).alias("args"))
+    first = F.array_min(F.map_keys("args"))
+    calls = expected_calls(train).select("tool", loose_members(F.col("args")).alias("args")).withColumn("key", F.coalesce(first, F.lit(""))).withColumn("value", F.coalesce(F.try_element_at("args", first), F.lit("")))
     wanted = evaluation.where("expected_tool_name IS NOT NULL AND expected_tool_name <> ''").select("id", F.col("expected_tool_name").alias("tool"))
-    wanted = wanted.join(answers.where("n_calls = 1").select("id", "tool", alternatives(F.col("choices")).alias("choices")), ["id", "tool"])
-    pairs = wanted.join(calls, "tool")
+    wanted = wanted.join(answers.where("n_calls = 1").select("id", "tool", alternatives(F.col("choices")).alias("choices")), ["id", "tool"]).where("choices IS NOT NULL")
+    listed = F.flatten(F.transform(F.map_entries("choices"), lambda e: F.transform(F.array_distinct(e["value"]), lambda v: F.struct(e["key"].alias("key"), v.alias("value")))))
+    none = F.array(F.struct(F.lit("").alias("key"), F.lit("").alias("value")))
+    pairs = wanted.select("id", "tool", "choices", F.explode(F.concat(listed, none)).alias("e")).select("id", "tool", "choices", "e.*").join(calls, ["tool", "key", "value"])
     known = F.forall(F.map_entries("args"), lambda e: F.coalesce(F.array_contains(F.try_element_at("choices", e["key"]), e["value"]), F.lit(False)))
     optional = F.forall(F.map_entries("choices"), lambda e: F.map_contains_key("args", e["key"]) | F.array_contains(e["value"], '""'))
     return evaluation.join(pairs.where(known & optional).select("id").distinct(), "id", "left_semi")

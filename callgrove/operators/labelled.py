@@ -171,7 +171,7 @@ def row_rules(mode: str) -> list[tuple[int, Column | str, Column]]:
 
 
 def checked_rows(spark: SparkSession, path: str, mode: str = "template") -> DataFrame:
-    """(line, rule, message, id, utterance, reference_date, category, tools): each row with its own first failure (null: none)."""
+    """(line, rule, message, id, utterance, reference_date, category, tools): each row with its own first failure (null: none). Blank ids and bad dates are null."""
     if mode not in STATUS:
         raise ValueError(f"choose one validation mode of {tuple(STATUS)}")
     rows = _columns(numbered_lines(spark, path))
@@ -180,7 +180,7 @@ def checked_rows(spark: SparkSession, path: str, mode: str = "template") -> Data
     schemas = F.transform("tools", lambda t, at: F.when(t["schema"].isNotNull(), F.struct((TOOLS + 2 * at).cast("int").alias("rule"), t["schema"].alias("message"))))
     found = F.array_min(F.filter(F.concat(F.array(*broken), F.coalesce(schemas, F.array().cast("array<struct<rule:int,message:string>>"))), lambda v: v.isNotNull()))
     rows = rows.withColumn("found", found)
-    return rows.select("line", "found.rule", "found.message", "id", F.col("user_utterance").alias("utterance"), "reference_date", "category", F.transform("tools", lambda t: F.struct(t["name"].alias("name"), t["definition"].alias("definition"))).alias("tools"))
+    return rows.select("line", "found.rule", "found.message", F.when(~blank(F.col("id")), F.col("id")).alias("id"), F.col("user_utterance").alias("utterance"), F.when(F.col("date_problem").isNull(), F.col("reference_date")).alias("reference_date"), "category", F.transform("tools", lambda t: F.struct(t["name"].alias("name"), t["definition"].alias("definition"))).alias("tools"))
 
 
 def between_rows(rows: DataFrame, mode: str = "final") -> DataFrame:

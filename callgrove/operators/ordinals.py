@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_dir
+
 
 def with_ordinals(rows: DataFrame, *order: str | Column, name: str = "ord") -> DataFrame:
     """``rows`` with their 0-based place in this order. Ties get places in some order, the same whenever the result is read."""
     spark = rows.sparkSession
     if not spark.sparkContext.getCheckpointDir():  # the shared folder; one of our own only where none is set
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="callgrove-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("ord__part", F.spark_partition_id()).checkpoint()
     inside = F.row_number().over(Window.partitionBy("ord__part").orderBy(*order))
     parts = ranged.groupBy("ord__part").agg(F.count("*").alias("ord__n"))

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bare_alef, normalized_prompt
 from ..operators import audit, corpus, labelled, ordinals, records, runs, scoring, verdict
+from ..sources import benchmarks
 from ..sources.benchmarks import repaired_ids
 from ..sources.readers import table
 from ..streaming.resume import windowed_counts
+from . import made
 from .design import made_design
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,9 +44,9 @@ def predictions(spark: SparkSession, sf_dir: str, kind: Column | None = None) ->
     return e.select(F.col("event_id").cast("string").alias("example_id"), text.alias("generated_text"), F.abs("value").alias("latency_seconds"), F.lit(None).cast("double").alias("gpu_memory_mb"))
 
 
-def _scored(spark: SparkSession, sf_dir: str, kind: Column | None = None) -> DataFrame:
-    # ids are equal by construction here; the check of a run's own files stays on by default
-    return scoring.score_examples(examples(spark, sf_dir), predictions(spark, sf_dir, kind), output_format="tagged", check=False, keep=("ord", "domain"))
+def _scored(spark: SparkSession, sf_dir: str, kind: Column | None = None, check: bool = False) -> DataFrame:
+    # ids are equal by construction here; score_counts has the check that a run's own files get
+    return scoring.score_examples(examples(spark, sf_dir), predictions(spark, sf_dir, kind), output_format="tagged", check=check, keep=("ord", "domain"))
 
 
 def _flags(kind: str = "event_id % 8") -> str:
@@ -75,7 +77,7 @@ negative_case_correct / negative_examples AS negative_case_accuracy, false_calls
 
 
 def score_counts(spark, sf_dir):
-    return scoring.score_counts(_scored(spark, sf_dir))
+    return scoring.score_counts(_scored(spark, sf_dir, check=True))
 
 
 def score_rates(spark, sf_dir):
@@ -185,9 +187,9 @@ def duplicate_id_repair(spark, sf_dir):
 
 def ordered_lookup(spark, sf_dir):
     """Names looked up in order: each order's parts by line."""
-    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    listed = F.array_sort(F.collect_list(F.struct("l_linenumber", "p_partkey", "p_name")))
-    return items.groupBy("l_orderkey").agg(F.array_join(F.transform(listed, lambda x: x["p_name"]), "|").alias("names"))
+    asked = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey").alias("at"), F.col("l_partkey").alias("p_partkey"))
+    found = benchmarks.ordered_lookup(asked, table(spark, sf_dir, "part"), "l_orderkey", "p_partkey", "at", "p_name", out="names")
+    return found.select("l_orderkey", F.array_join("names", "|").alias("names"))
 
 
 def prefix_limit(spark, sf_dir):
@@ -222,16 +224,6 @@ def first_violation(spark, sf_dir):
     return first.select("conv_id", "v.turn", "v.message")
 
 
-def conversation_messages(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    listed = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return c.groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(listed, lambda x: F.concat_ws(": ", x["role"], x["text"])), "\n"), 256).alias("messages_sha256"), F.count("*").alias("turns"))
-
-
-def text_digest(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
-
-
 def bare_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(bare_alef(F.concat(F.lit("أإآ "), F.col("text"))), 256).alias("bare_sha256"))
 
@@ -260,12 +252,12 @@ def windowed_events(spark, sf_dir):
     return windowed_counts(table(spark, sf_dir, "events"), width="1 day")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (score_counts, score_rates, scored_examples, score_by_category, argument_key_prf, paired_verdict, paired_examples, latency_summary, alternatives_accuracy, exact_prompt_overlap, normalized_prompt_overlap, normalized_prompts, target_overlap, alternatives_overlap, structural_overlap, duplicate_id_repair, ordered_lookup, prefix_limit, even_sample, category_quota, first_violation, conversation_messages, text_digest, bare_text, prediction_violations, corpus_counts, corpus_gates, corpus_balance, windowed_events)}
+QUERIES: dict[str, Query] = made.QUERIES | {f.__name__: f for f in (score_counts, score_rates, scored_examples, score_by_category, argument_key_prf, paired_verdict, paired_examples, latency_summary, alternatives_accuracy, exact_prompt_overlap, normalized_prompt_overlap, normalized_prompts, target_overlap, alternatives_overlap, structural_overlap, duplicate_id_repair, ordered_lookup, prefix_limit, even_sample, category_quota, first_violation, bare_text, prediction_violations, corpus_counts, corpus_gates, corpus_balance, windowed_events)}
 
 _N1 = r"trim(regexp_replace(regexp_replace(replace(lower(nfc_normalize({0})), 'ß', 'ss'), '[\p{{M}}\p{{P}}\p{{S}}]', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
 _BOTH = f"WITH {_flags().strip()}, {_flags('(event_id * 3 + 1) % 8').strip().replace('f AS', 'g AS', 1)}"
 
-SQL: dict[str, str] = {
+SQL: dict[str, str] = made.SQL | {
     "score_counts": f"WITH {_flags()} SELECT {_COUNTS} FROM f",
     "score_rates": f"WITH {_flags()}, c AS (SELECT {_COUNTS} FROM f) SELECT {_RATES} FROM c",
     "scored_examples": f"WITH {_flags()} SELECT CAST(event_id AS VARCHAR) AS id, m < 6 AS parse_success, m < 6 AS valid_structured_output, is_call, sc AS should_call_correct, tool AS tool_selection_correct, args AS arguments_correct, exact AS exact_match, CAST(tp AS INT) AS argument_key_tp, CAST(fp AS INT) AS argument_key_fp, CAST(fn AS INT) AS argument_key_fn, m = 6 AS has_error FROM f",
@@ -295,8 +287,6 @@ round(100 * english, 9) AS english_change_percentage_points, gain >= 0.05 - 1e-1
     "first_violation": """WITH c AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS rn FROM conversations),
 v AS (SELECT conv_id, turn, CASE WHEN role NOT IN ('user', 'assistant', 'system') THEN 'unknown role' WHEN turn = 0 AND role = 'assistant' THEN 'conversation must not start with the assistant' WHEN trim(text) = '' THEN 'text must be a non-empty string' WHEN length(text) > 1500 THEN 'text must have at most 1500 characters' WHEN rn > 1 THEN 'duplicate text' END AS message FROM c)
 SELECT conv_id, min(turn) AS turn, arg_min(message, turn) AS message FROM v WHERE message IS NOT NULL GROUP BY conv_id""",
-    "conversation_messages": "SELECT conv_id, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text)) AS messages_sha256, count(*) AS turns FROM conversations GROUP BY conv_id",
-    "text_digest": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents",
     "bare_text": "SELECT doc_id, sha256(translate('أإآ ' || text, 'أإآ', 'ااا')) AS bare_sha256 FROM documents",
     "prediction_violations": """SELECT message, count(*) AS n FROM (SELECT 'model_id must be a non-empty string' AS message FROM events WHERE event_id % 7 = 0
 UNION ALL SELECT 'prompt_version must be a non-empty string' FROM events WHERE event_id % 11 = 0 UNION ALL SELECT 'latency_seconds must be a finite non-negative number' FROM events WHERE event_id % 13 = 0) GROUP BY message""",

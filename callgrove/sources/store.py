@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
+import tempfile
 import uuid
+from contextlib import suppress
+from functools import cache
 
 from pyspark.sql import SparkSession
 
 
+@cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="callgrove-")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one in local mode (tests), else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that driver and executors share")
+    return (found or _own_dir()).rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> Store:
+    """A new folder of the shared one, removed at interpreter exit."""
+    store = Store(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    atexit.register(store.remove)
+    return store
+
+
 class Store:
     """Paths are relative to ``base``, which may be local or on shared storage."""
 
@@ -21,7 +45,7 @@ class Store:
         return f"{self.base}/{name}"
 
     def _at(self, name: str):
-        where = self._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        where = self._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.base)
         return where.getFileSystem(self._conf), where
 
     def exists(self, name: str) -> bool:
@@ -55,6 +79,12 @@ class Store:
         _, final = self._at(name)
         self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri() if final.toUri().getScheme() else files.getUri(), self._conf).rename(files.makeQualified(draft), files.makeQualified(final), kinds)
 
+    def remove(self) -> None:
+        """The whole folder; nothing where the session is gone."""
+        with suppress(Exception):
+            files, where = self._at("")
+            files.delete(where, True)
+
     def document(self, name: str):
         return json.loads(self.read(name))
 

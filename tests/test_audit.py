@@ -1,8 +1,12 @@
 """Leakage audit: each blocker, and what must not count."""
 
+import itertools
 import json
+import random
 
-from callgrove.functions.text import normalize_prompt
+from pyspark.sql import functions as F
+
+from callgrove.functions.text import normalize_prompt, normalized_prompt
 from callgrove.operators import audit as A
 
 TOOL = "array<struct<name:string,description:string,parameters:string>>"
@@ -61,3 +65,24 @@ def test_named_groups(spark):
     held = rows(spark, ("one", [tool("b", "z")], False, None, None))
     found = {r.name: r.passed for r in A.audit(train, {"g": (held, None), "h": (train.limit(0), None)}).collect()}
     assert found == {"g": False, "h": True}
+
+
+def test_normalized_prompt_is_the_same_inside_and_outside_ascii(spark):
+    texts = ["".join(map(chr, range(128))), "A-b_C  d\n\te!", "", " ", "\x1c x \x1f", "a\x00b\x7fc", "Straße", "ﬁ \u00a0x", "line\nline\r\n", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.n for r in frame.select("i", normalized_prompt(F.col("t")).alias("n")).collect()}
+    assert got == {i: None if t is None else normalize_prompt(t) for i, t in enumerate(texts)}
+
+
+def test_alternatives_against_all_pairs(spark):
+    """Random calls and answers: the join on the first argument finds what testing all pairs finds, calls without arguments too."""
+    rng = random.Random(1)
+    calls = [(f"t{i}", rng.choice("fg"), {k: rng.choice([1, 1.0, "a", True]) for k in rng.sample("abc", rng.randrange(4))}) for i in range(60)]
+    wanted = [(f"e{i}", rng.choice("fg"), {k: rng.sample([1, "a", "", 2], rng.randrange(1, 4)) for k in rng.sample("abc", rng.randrange(4))}) for i in range(60)]
+    ddl = "id string, should_call_tool boolean, expected_tool_name string, expected_arguments string"
+    train = spark.createDataFrame([(i, True, t, json.dumps(a)) for i, t, a in calls], ddl)
+    held = spark.createDataFrame([(i, True, t, "{}") for i, t, _ in wanted], ddl)
+    answers = spark.createDataFrame([(i, t, 1, json.dumps(c)) for i, t, c in wanted], "id string, tool string, n_calls int, choices string")
+    fits = lambda args, choices: all(k in choices and v in choices[k] for k, v in args.items()) and all(k in args or "" in v for k, v in choices.items())
+    want = {i for (i, t, c), (_, u, a) in itertools.product(wanted, calls) if t == u and fits(a, c)}
+    assert {r.id for r in A.alternatives_overlap(train, held, answers).collect()} == want and want
