@@ -22,7 +22,8 @@ of their SHA-256, for which, unlike MD5's, nobody can make two texts that agree.
 K-grams with more than ``HOT`` places (a passage that a third of all documents share) aren't gathered in a task. Their surroundings are
 cut into batches; each batch tells the hashes of its windows at every offset, each once, to tasks that own a range of hashes; these
 answer which ones other batches have too, and the batch draws the ends of its repeats from the answers. What one passage's windows
-cost is then one hash a batch, however many documents have it.
+cost is then one hash a batch, however many documents have it. Collision verification: the hashes on which ends rest are asked back from all batches
+that have them, each shows its window's bytes once, and they are compared. If any two differ, the hot k-grams are sorted like all others.
 
 Edge cases. Null text is empty. Texts shorter than ``length`` lose nothing. Repeated rows are copies and lose
 everything if they are long enough. Null ids are allowed. An empty table gives no rows. In ``suffix_text`` a
@@ -366,8 +367,9 @@ def _hot_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
             number += 1
 
 
-def _windows(row: dict, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each offset of a window before its anchor: which surroundings have it, and hashes of gram, offset and window."""
+def _windows(row: dict, length: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each offset of a window before its anchor: which surroundings have it, and hashes of gram, offset and window (their last ``bits``)."""
+    mask = U64((1 << bits) - 1)
     grams, lefts = np.frombuffer(row["grams"], np.int64), np.frombuffer(row["lefts"], np.int32).astype(np.int64)
     sizes = np.frombuffer(row["sizes"], np.int32).astype(np.int64)
     base = np.cumsum(sizes) - sizes + lefts
@@ -376,22 +378,24 @@ def _windows(row: dict, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarr
     for o in range(length - gram_size(length) + 1):
         has = np.flatnonzero((lefts >= o) & (sizes - lefts >= length - o))
         if len(has):
-            yield o, has, mix(span_hashes(prefix, base[has] - o, base[has] - o + length) + salt[has] + U64(o + 1) * U64(BASE // 3))
+            yield o, has, mix(span_hashes(prefix, base[has] - o, base[has] - o + length) + salt[has] + U64(o + 1) * U64(BASE // 3)) & mask
+
+
+def _by_bucket(hashes: np.ndarray, buckets: int, batch: int) -> pa.RecordBatch:
+    """Sorted hashes of a batch as a row for each range."""
+    part = ((hashes >> U64(32)) * U64(buckets)) >> U64(32)
+    cuts = np.searchsorted(part, np.arange(buckets + 1))
+    kept = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+    return pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array([batch] * len(kept), pa.int64()), pa.array([hashes[cuts[b] : cuts[b + 1]].tobytes() for b in kept], pa.binary())], schema=_HASHES)
 
 
 @frees_memory
-def _hot_windows(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _hot_windows(batches: Iterator[pa.RecordBatch], length: int, buckets: int, bits: int) -> Iterator[pa.RecordBatch]:
     """(bucket, batch, hashes): all window hashes of a batch, each once, dealt by their range."""
     for batch in batches:
         for row in batch.to_pylist():
-            hashes = [h for _, _, h in _windows(row, length)]
-            if not hashes:
-                continue
-            hashes = np.unique(np.concatenate(hashes))
-            part = ((hashes >> U64(32)) * U64(buckets)) >> U64(32)
-            cuts = np.searchsorted(part, np.arange(buckets + 1))
-            kept = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array([row["batch"]] * len(kept), pa.int64()), pa.array([hashes[cuts[b] : cuts[b + 1]].tobytes() for b in kept], pa.binary())], schema=_HASHES)
+            if hashes := [h for _, _, h in _windows(row, length, bits)]:
+                yield _by_bucket(np.unique(np.concatenate(hashes)), buckets, row["batch"])
 
 
 @frees_memory
@@ -412,30 +416,83 @@ def _hot_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([number], pa.int64()), pa.array([both.tobytes()], pa.binary())], schema=_HASHES)
 
 
+def _hot_ends(row: dict, length: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What repeats cover to the left and right of each anchor of a batch, by the hashes that others have too; and the hashes that this rests on."""
+    known = np.unique(np.frombuffer(b"".join(row["others"] or []), U64))
+    owners = np.frombuffer(row["owners"], np.int32)
+    n = len(row["lefts"]) // 4
+    twice = np.bincount(owners, minlength=n) > 1
+    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    first, last = np.zeros(n, U64), np.zeros(n, U64)
+    for o, has, h in _windows(row, length, bits):
+        _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
+        hit = twice[has] | (counts[inverse] > 1)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit |= known[at] == h
+        mine, rest = has[hit], h[hit]
+        new = right[mine] == 0  # offsets rise: the first one reaches farthest to the right, the last one to the left
+        right[mine[new]], last[mine[new]] = length - o, rest[new]
+        left[mine], first[mine] = o, rest
+    rests = (right > 0) & ~twice
+    return left, right, np.unique(np.r_[first[rests], last[rests]])
+
+
 @frees_memory
-def _hot_spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _hot_spans(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Batches with the hashes that others have too: what repeats cover around each place."""
     for batch in batches:
         for row in batch.to_pylist():
-            known = np.unique(np.frombuffer(b"".join(row["others"] or []), U64))
+            left, right, _ = _hot_ends(row, length, bits)
             owners = np.frombuffer(row["owners"], np.int32)
-            lefts, sizes = np.frombuffer(row["lefts"], np.int32).astype(np.int64), np.frombuffer(row["sizes"], np.int32).astype(np.int64)
-            twice = np.bincount(owners, minlength=len(lefts)) > 1
-            left, right = np.zeros(len(lefts), np.int64), np.zeros(len(lefts), np.int64)
-            for o, has, h in _windows(row, length):
-                _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
-                hit = twice[has] | (counts[inverse] > 1)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    hit |= known[at] == h
-                left[has[hit]] = o
-                right[has[hit]] = np.maximum(right[has[hit]], length - o)
             found = np.flatnonzero(right[owners] > 0)
             if len(found):
                 pos, ths = np.frombuffer(row["places"], np.int32).astype(np.int64)[found], row["ths"]
                 yield pa.RecordBatch.from_arrays([pa.array([ths[16 * i : 16 * i + 16] for i in found.tolist()], pa.binary()), pa.array((pos - left[owners[found]]).astype(np.int32)), pa.array((pos + right[owners[found]]).astype(np.int32))], schema=_SPANS)
 
 
+@frees_memory
+def _hot_evidence(batches: Iterator[pa.RecordBatch], length: int, buckets: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, batch, hashes): those on which the ends of a batch's repeats rest; batch -1."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield _by_bucket(_hot_ends(row, length, bits)[2], buckets, -1)
+
+
+@frees_memory
+def _hot_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, batch, hashes): of what each batch has, that on which some end rests."""
+    held: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for batch in batches:
+        for bucket, number, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            held.setdefault(bucket, []).append((number, np.frombuffer(raw, U64)))
+    for bucket in list(held):
+        items = held.pop(bucket)
+        asked = np.unique(np.concatenate([np.zeros(0, U64), *(h for number, h in items if number < 0)]))
+        for number, h in items:
+            both = h[np.isin(h, asked)]
+            if number >= 0 and len(both):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([number], pa.int64()), pa.array([both.tobytes()], pa.binary())], schema=_HASHES)
+
+
+@frees_memory
+def _hot_shown(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """(hash, window): the bytes behind the hashes that were asked for; all different ones."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            asked = np.unique(np.frombuffer(b"".join(row["others"] or []), U64))
+            lefts, sizes = np.frombuffer(row["lefts"], np.int32).astype(np.int64), np.frombuffer(row["sizes"], np.int32).astype(np.int64)
+            base, data = np.cumsum(sizes) - sizes + lefts, row["data"]
+            seen: set[tuple[int, bytes]] = set()
+            for o, has, h in _windows(row, length, bits):
+                hit = np.flatnonzero(np.isin(h, asked))
+                for i, x in zip(has[hit].tolist(), h[hit].tolist(), strict=True):
+                    at = int(base[i]) - o
+                    seen.add((x, data[at : at + length]))
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([x for x, _ in seen], U64).view(np.int64)), pa.array([w for _, w in seen], pa.binary())], names=["hash", "window"])
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -485,9 +542,10 @@ def _cut_out(batches: Iterator[pa.RecordBatch], added: list[str], length: int, d
         yield pa.RecordBatch.from_arrays(arrays, names=[*names, *added])
 
 
-def suffix_dedup(docs: DataFrame, *, length: int = 400, text: str = "text", doc_id: str = "doc_id", digest: bool = False, hot: int = HOT) -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, length: int = 400, text: str = "text", doc_id: str = "doc_id", digest: bool = False, hot: int = HOT, window_bits: int = 64) -> DataFrame:
     """``docs`` with suffix_n_bytes, suffix_spans (what goes), suffix_bytes and suffix_text (what stays).
 
+    window_bits: of the hashes that hot k-grams are told apart by; fewer cost time, not correctness.
     digest: instead of suffix_bytes only suffix_sha256, the SHA-256 of the bytes that stay.
     """
     spark = docs.sparkSession
@@ -508,14 +566,25 @@ def suffix_dedup(docs: DataFrame, *, length: int = 400, text: str = "text", doc_
         shared = places.join(grams, "gram").groupBy("th").agg(F.collect_set(F.struct("pos", "gram")).alias("places"))
         return first.join(shared, "th").select("th", "text", "places")
 
-    contexts = around(often.where(F.col("c") <= hot)).mapInArrow(partial(_contexts, length=length), "gram long, left int, context binary, ths binary, places binary")
-    found = contexts.repartition(4 * partitions(spark), "gram").mapInArrow(partial(_sorted_repeats, length=length), "th binary, a int, b int")
+    def sorted_(grams: DataFrame) -> DataFrame:
+        contexts = around(grams).mapInArrow(partial(_contexts, length=length), "gram long, left int, context binary, ths binary, places binary")
+        return contexts.repartition(4 * partitions(spark), "gram").mapInArrow(partial(_sorted_repeats, length=length), "th binary, a int, b int")
+
+    found = sorted_(often.where(F.col("c") <= hot))
     if often.where(F.col("c") > hot).limit(1).count():
-        buckets = 4 * partitions(spark)
+        buckets, ddl, bits = 4 * partitions(spark), "bucket int, batch long, hashes binary", window_bits
+        gathered = lambda rows: rows.groupBy("batch").agg(F.collect_list("hashes").alias("others"))
         hot_rows = stages.put(around(often.where(F.col("c") > hot)).mapInArrow(partial(_hot_batches, length=length), _BATCH_DDL), "hot")
-        told = hot_rows.mapInArrow(partial(_hot_windows, length=length, buckets=buckets), "bucket int, batch long, hashes binary")
-        answers = told.repartition(buckets, "bucket").mapInArrow(_hot_matches, "bucket int, batch long, hashes binary").groupBy("batch").agg(F.collect_list("hashes").alias("others"))
-        found = found.union(hot_rows.join(answers, "batch", "left").mapInArrow(partial(_hot_spans, length=length), "th binary, a int, b int"))
+        told = hot_rows.mapInArrow(partial(_hot_windows, length=length, buckets=buckets, bits=bits), ddl)
+        answers = stages.put(gathered(told.repartition(buckets, "bucket").mapInArrow(_hot_matches, ddl)), "answers")
+        answered = hot_rows.join(answers, "batch", "left")
+        evidence = answered.mapInArrow(partial(_hot_evidence, length=length, buckets=buckets, bits=bits), ddl)
+        asked = gathered(told.union(evidence).repartition(buckets, "bucket").mapInArrow(_hot_asked, ddl))
+        shown = hot_rows.join(asked, "batch").mapInArrow(partial(_hot_shown, length=length, bits=bits), "hash long, window binary")
+        if shown.groupBy("hash").agg(F.min("window").alias("a"), F.max("window").alias("b")).where("a <> b").limit(1).count():
+            found = sorted_(often)
+        else:
+            found = found.union(answered.mapInArrow(partial(_hot_spans, length=length, bits=bits), "th binary, a int, b int"))
     spans = stages.put(found.groupBy("th").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "spans")
     stages.drop(places)
     spans = spans.join(copies, "th", "left_anti")  # copies go as a whole
