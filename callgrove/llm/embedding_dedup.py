@@ -8,12 +8,13 @@ one that is the nearest of either, are candidates, found list by list, and are v
 Balls. Before indexing, vectors that lie within ``ball`` degrees (by default half the angle of the threshold) of another one are put into its ball, first within a batch, then
 across batches by their first pivot. Any two members of a ball are within the threshold, so a group of near copies that holds a third
 of all rows is indexed as a few balls with weights and its pairs are never made. Two balls are compared by the angle between their
-centres and their radii: if all their members must link, or none can, nothing more is done; else the members are compared.
+centres and their radii: if all their members must link, or none can, nothing more is done; else the members are compared, in blocks of
+``MEMBERS`` by as many, each pair of blocks a task's group of its own.
 
 Lists longer than ``block`` vectors are cut into blocks, and pairs of blocks are separate tasks, so no list is gathered in one. A pair that
 shares several lists is reported by the least of them. A task gives numbers of links and what hangs together, not the linked pairs, so
 a crowded list costs its comparisons and no more rows than it has vectors. The number of pivots grows with the square root of the number of vectors, the lists'
-total work thus as its power 1.5, but a crowded region that balls don't shrink is compared in full; broadcast are pivots only (at most ``max_pivots`` vectors).
+total work thus as its power 1.5, but a crowded region that balls don't shrink is compared in full; broadcast are pivots only (at most ``max_pivots`` vectors and ``PIVOT_BYTES``).
 
 Edge cases. Vectors that are null, empty, zero or have null or non-finite components link with nothing; vectors of different
 lengths don't link. Repeated rows are vectors of their own, linked with each other. Rows with a null id take part. An
@@ -40,6 +41,10 @@ _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_()), (
 
 #: Angles are known to about this much.
 TINY = 1e-7
+#: Bytes of the pivots that are broadcast, whatever the vectors' length; four times as many are looked at to find them.
+PIVOT_BYTES = 32 << 20
+#: Members of a ball in one block of a comparison with another ball.
+MEMBERS = 4096
 #: Centres of one pivot that are merged in one go.
 MERGED = 4000
 #: A list is cut into at most four blocks as long as these have no more vectors: each block travels once for every other one.
@@ -258,12 +263,15 @@ def _candidates(batches: Iterator[pa.RecordBatch], shared: int, limit: float, co
 
 @frees_memory
 def _members_compared(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """a, b, side, uid, v: the members of two balls; (a, b, uid, n) for those with links to the other ball."""
-    for table in _whole_groups(batches, 2):
-        a, b, side, uid = (table.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        x = unit(matrix(table.column(4)))
-        order = np.lexsort((b, a))
-        for members in np.split(order, np.flatnonzero((np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)) + 1):
+    """a, b, i, j, side, uid, v: block i of a ball's members and block j of another's; (a, b, uid, n) for those with links to the other block."""
+    for table in _whole_groups(batches, 4):
+        a, b, i, j, side, uid = (table.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+        x = unit(matrix(table.column(6)))
+        order = np.lexsort((j, i, b, a))
+        changes = np.diff(a[order]) != 0
+        for key in (b, i, j):
+            changes |= np.diff(key[order]) != 0
+        for members in np.split(order, np.flatnonzero(changes) + 1):
             left, right = members[~side[members]], members[side[members]]
             n_left, n_right = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
             for at in range(0, len(left), 1024):
@@ -291,7 +299,7 @@ def embedding_dedup(vectors: DataFrame, *, cosine: float = 0.9, near: int = 12,
     for size in kinds:
         mine = usable.where(F.size("v") == size)
         n = mine.count()
-        pivots = max(min_pivots, min(max_pivots, 2 * math.isqrt(n)))
+        pivots = max(min_pivots, min(max_pivots, PIVOT_BYTES // (8 * max(1, size)), 2 * math.isqrt(n)))
         points = mine.orderBy(F.xxhash64("uid"), "uid").limit(4 * pivots).select("v").toArrow().column(0).combine_chunks()
         held = spark.sparkContext.broadcast(thinned(unit(matrix(points)), min(2 * limit, math.pi / 2), pivots))
         first = stages.put(mine.mapInArrow(partial(_first_balls, shared=held, near=near, ball=ball), _ITEM_DDL), "balls")
@@ -313,9 +321,12 @@ def embedding_dedup(vectors: DataFrame, *, cosine: float = 0.9, near: int = 12,
         linked = pairs.where("b is null").groupBy("a").agg(F.sum("n").alias("more")).select(F.col("a").alias("ball"), "more")
         # balls that may or may not link: their members are compared
         doubt = pairs.where("not sure").select("a", "b")
-        sides = doubt.select("a", "b", F.col("a").alias("ball"), F.lit(False).alias("side")).union(doubt.select("a", "b", F.col("b").alias("ball"), F.lit(True).alias("side")))
-        asked = sides.join(member, "ball").join(mine, "uid").select("a", "b", "side", "uid", "v")
-        settled = stages.put(asked.repartition(2 * partitions(spark), "a", "b").sortWithinPartitions("a", "b").mapInArrow(partial(_members_compared, cosine=cosine), "a long, b long, uid long, n long"), "settled")
+        parts = balls.select("uid", F.ceil(F.col("weight") / MEMBERS).cast("int").alias("parts"))
+        doubt = doubt.join(parts.select(F.col("uid").alias("a"), F.col("parts").alias("in_a")), "a").join(parts.select(F.col("uid").alias("b"), F.col("parts").alias("in_b")), "b")
+        sides = doubt.select("a", "b", F.col("a").alias("ball"), F.lit(False).alias("side"), F.col("in_a").alias("own"), F.col("in_b").alias("others")).union(doubt.select("a", "b", F.col("b").alias("ball"), F.lit(True).alias("side"), F.col("in_b").alias("own"), F.col("in_a").alias("others")))
+        asked = sides.join(member, "ball").join(mine, "uid").withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("own")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        asked = asked.select("a", "b", F.when(F.col("side"), F.col("other")).otherwise(F.col("mine")).alias("i"), F.when(F.col("side"), F.col("mine")).otherwise(F.col("other")).alias("j"), "side", "uid", "v")
+        settled = stages.put(asked.repartition(2 * partitions(spark), "a", "b", "i", "j").sortWithinPartitions("a", "b", "i", "j").mapInArrow(partial(_members_compared, cosine=cosine), "a long, b long, uid long, n long"), "settled")
         own = settled.groupBy("uid").agg(F.sum("n").alias("own"))
         counted = member.join(balls.select(F.col("uid").alias("ball"), "weight"), "ball").join(linked, "ball", "left").join(own, "uid", "left")
         counts.append(counted.select("uid", "ball", (F.col("weight") - 1 + F.coalesce("more", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("links")))
