@@ -301,7 +301,8 @@ def ngram_components(docs: DataFrame, *, words: int = 5, percent: int = 80, text
     rows = both.where("tokens is null").select("doc_id", "key", "key2", "n")
     sets = both.where("tokens is not null").select("key", "n", "own", "tokens", "prefix")
 
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)) if percent < 100 else F.col("n")
+    # a little wider than the threshold's ratio, so that rounding never puts linked sizes two bands apart
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n")
     posts = sets.select("key", "n", "own", band.alias("band"), F.posexplode("prefix").alias("at", "token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     # at: the n-gram's place in its set, rarest first, after those that no other set has
