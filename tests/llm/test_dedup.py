@@ -100,6 +100,13 @@ def test_ngram_join(spark, n, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (counts[i], want[i]) for i in counts}
 
 
+def test_sizes_at_the_threshold_link(spark):
+    """A set of 10 n-grams within one of 100 at a tenth: sizes exactly at the ratio."""
+    long = [f"w{k}" for k in range(100)]
+    got = ngram_components(docs(spark, [(1, " ".join(long)), (2, " ".join(long[:10])), (3, "other words")]), words=1, percent=10).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
+
+
 def test_ngram_join_odd_rows(spark):
     got = ngram_components(docs(spark, ODD)).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id == 903} == {903}
@@ -173,10 +180,11 @@ def in_process(texts, length):
     return [suffix_dedup._without(raw, m) for raw, m in ((t, suffix_dedup.merged(spans.get(d, []))) for d, t in enumerate(texts))]
 
 
-@pytest.mark.parametrize("hot", [20_000, 5, 1], ids=["sorted", "some hot", "all hot"])
-def test_suffixes(spark, hot):
+@pytest.mark.parametrize(("hot", "bits"), [(20_000, 64), (5, 64), (1, 64), (1, 12)], ids=["sorted", "some hot", "all hot", "all hot, colliding hashes"])
+def test_suffixes(spark, hot, bits):
+    """Also where window hashes collide: the bytes behind them are compared, and the hot path is left."""
     rows = suffix_rows()
-    got = {r.doc_id: r for r in cut(docs(spark, rows), length=40, hot=hot).collect()}
+    got = {r.doc_id: r for r in cut(docs(spark, rows), length=40, hot=hot, window_bits=bits).collect()}
     for (i, t), (kept, spans) in zip(rows, suffix_brute(rows, 40), strict=True):
         assert (bytes(got[i].suffix_bytes), len(got[i].suffix_spans)) == (kept, spans), (i, t)
         assert got[i].suffix_text is not None and got[i].copies == "c"
@@ -257,6 +265,21 @@ def test_embeddings_crowded(spark, together):
     assert len({got[int(i)].near_component for i in crowd}) == 1
 
 
+def test_large_doubtful_balls_are_compared_in_blocks(spark, monkeypatch):
+    """Two balls that may or may not link, with many blocks of members each: the same links as by brute force."""
+    from callgrove.llm import embedding_dedup as module
+
+    monkeypatch.setattr(module, "MEMBERS", 50)
+    rng = np.random.default_rng(3)
+    ends = np.zeros((2, 8))
+    ends[0, 0], ends[1, 0], ends[1, 1] = 1, np.cos(0.45), np.sin(0.45)
+    x = np.concatenate([c + rng.normal(size=(400, 8)) * 0.03 for c in ends]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    got = {r.vec_id: r.near_links for r in embedding_dedup(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), cosine=0.9, min_pivots=16).collect()}
+    assert 399 < want.mean() < 799 and [got[i] for i in range(800)] == want.tolist()
+
+
 def test_embeddings_empty(spark):
     assert embedding_dedup(vectors(spark, [(1, [1.0])]).limit(0)).count() == 0
     assert embedding_dedup(vectors(spark, [(1, None)])).collect()[0].near_component == 1
