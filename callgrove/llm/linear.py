@@ -7,6 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,13 +93,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], *, m
     spark = docs.sparkSession
     keys = spark.createDataFrame([(k,) for k in targets], "key long")
     found = docs.select(F.col(doc_id).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(keys), "key")
-    got = {r.key: bytes(r.buckets) for r in found.mapInArrow(_sample_features, _SAMPLE_DDL).groupBy("key").agg(F.min("buckets").alias("buckets")).collect()}
-    order = sorted(got)
-    rows = np.repeat(np.arange(len(order), dtype=np.int32), [len(got[k]) // 4 for k in order])
-    buckets = np.frombuffer(b"".join(got[k] for k in order), np.int32)
+    got = found.mapInArrow(_sample_features, _SAMPLE_DDL).groupBy("key").agg(F.min("buckets").alias("buckets")).toArrow()
+    got = got.take(pa.array(np.argsort(got.column("key").to_numpy(), kind="stable")))
+    order = got.column("key").to_pylist()
+    rows = np.repeat(np.arange(len(order), dtype=np.int32), pa.compute.binary_length(got.column("buckets")).to_numpy() // 4)
+    buckets = np.frombuffer(b"".join(x.as_buffer() for x in got.column("buckets")), np.int32)
     return rows, buckets, np.array([targets[k] for k in order], float).reshape(len(order), len(columns))
 
 
+def _sums(at: np.ndarray, size: int, weights: np.ndarray | None = None, of: np.ndarray | None = None, step: int = 1 << 18) -> np.ndarray:
+    """np.bincount of ``at``, weighted by ``weights[of]`` where given, part by part: its wide copies stay small."""
+    out = np.zeros(size)
+    for i in range(0, len(at), step):
+        out += np.bincount(at[i : i + step], None if weights is None else weights[of[i : i + step]], minlength=size)
+    return out
+
+
 class Logistic:
     """A logistic model over present buckets and a few dense inputs, fitted by full-batch Adam with L2."""
 
@@ -114,25 +124,26 @@ class Logistic:
         if n == 0 or y.min() == y.max():
             return self
         size = 1 << FEATURE_BITS
-        seen = np.bincount(buckets, minlength=size)
-        hits = np.bincount(buckets, y[rows], minlength=size)
+        seen = _sums(buckets, size)
+        hits = _sums(buckets, size, y, rows)
         mean = y.mean()
         gap = np.abs(hits - seen * mean) / np.sqrt(np.maximum(seen, 1) * mean * (1 - mean))
         gap[seen < self.least_rows] = 0
         chosen = np.argsort(-gap, kind="stable")[: self.max_features]
         chosen = chosen[gap[chosen] > self.least_gap]
-        slot = np.full(size, -1)
+        slot = np.full(size, -1, np.int32)
         slot[chosen] = np.arange(len(chosen))
-        keep = slot[buckets] >= 0
+        keep = np.flatnonzero(slot[buckets] >= 0).astype(np.int32)
         r, c = rows[keep], slot[buckets[keep]]
+        del keep
         w = np.zeros(len(chosen) + dense.shape[1] + 1)
         w[-1] = self.bias
         m, v = np.zeros_like(w), np.zeros_like(w)
         k = len(chosen)
         for step in range(1, self.steps + 1):
-            p = self._sigmoid(np.bincount(r, w[c], minlength=n) + dense @ w[k:-1] + w[-1])
+            p = self._sigmoid(_sums(r, n, w, c) + dense @ w[k:-1] + w[-1])
             d = (p - y) / n
-            g = np.concatenate([np.bincount(c, d[r], minlength=k), d @ dense, [d.sum()]])
+            g = np.concatenate([_sums(c, k, d, r), d @ dense, [d.sum()]])
             g[:-1] += self.l2 * w[:-1]
             m = 0.9 * m + 0.1 * g
             v = 0.99 * v + 0.01 * g * g
@@ -145,7 +156,7 @@ class Logistic:
         return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
     def predict(self, rows: np.ndarray, buckets: np.ndarray, dense: np.ndarray, n: int) -> np.ndarray:
-        return self._sigmoid(np.bincount(rows, self.weights[buckets], minlength=n) + dense @ self.dense + self.bias)
+        return self._sigmoid(_sums(rows, n, self.weights, buckets) + dense @ self.dense + self.bias)
 
 
 class Chain:
@@ -164,7 +175,7 @@ class Chain:
     def fit(self, rows: np.ndarray, buckets: np.ndarray, targets: np.ndarray) -> Chain:
         n = len(targets)
         if len(buckets):  # features of too few rows are never chosen, in no fold either; they needn't be copied
-            keep = np.bincount(buckets, minlength=1 << FEATURE_BITS)[buckets] >= Logistic(**self.options).least_rows
+            keep = (_sums(buckets, 1 << FEATURE_BITS) >= Logistic(**self.options).least_rows)[buckets]
             rows, buckets = rows[keep], buckets[keep]
             del keep
         fold = np.arange(n) % self.folds
@@ -182,7 +193,7 @@ class Chain:
                     continue
                 place = np.full(n, -1, np.int32)
                 place[train] = np.arange(len(train))
-                mine = place[rows] >= 0
+                mine = (place >= 0)[rows]
                 model = Logistic(**self.options).fit(place[rows[mine]], buckets[mine], dense[train], y[train])
                 out[test] = model.predict(rows, buckets, dense, n)[test]
             before.append(out)

@@ -33,7 +33,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import cache, cached_property, partial
 from itertools import count
 
 import numpy as np
@@ -168,10 +168,8 @@ def pattern_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit numbers, by the tokenizer's file."""
 
-    def __init__(self, path: str, end_id: int | None = 0, slab: int = 3 << 20):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.slab = Tokenizer.from_file(path), slab
+    def __init__(self, path: str, end_id: int | None = 0, slab: int = 3 << 19):
+        self.path, self.slab = path, slab
         self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         self.plain = regex.compile(_PLAIN)
         with open(path, encoding="utf-8") as file:
@@ -179,6 +177,13 @@ class Encoder:
         self.by_word = self._splits_by_word(made)
         self.merges = Merges(made["model"]) if self.by_word else None
 
+    @cached_property
+    def tokenizer(self):
+        """For what isn't plain; most workers never need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def _splits_by_word(made: dict) -> bool:
         """Is it of the kind that the tables here are made for?"""

@@ -96,7 +96,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ths = batch.column(0)
-        for a, b, data, offsets in text_slices(batch, "text", 1 << 20):
+        for a, b, data, offsets in text_slices(batch, "text", 1 << 19):
             rows, pos, grams = anchors(data, offsets, length)
             if len(rows):
                 yield pa.RecordBatch.from_arrays([ths.slice(a, b - a).take(pa.array(rows)), pa.array(pos.astype(np.int32)), pa.array(grams)], schema=_ANCHORS)
@@ -106,7 +106,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """th, text, places as array of (pos, gram): what stands around each anchor; equal ones of a batch once."""
     for batch in batches:
-        for seen in _surroundings(batch, length, 8 << 20):
+        for seen in _surroundings(batch, length, 4 << 20):
             yield _context_rows(seen)
 
 
@@ -314,7 +314,7 @@ def repeats(contexts: list[bytes], left: np.ndarray, group: np.ndarray, times: n
 
 
 @frees_memory
-def _sorted_repeats(batches: Iterator[pa.RecordBatch], length: int, chunk: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def _sorted_repeats(batches: Iterator[pa.RecordBatch], length: int, chunk: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     held: dict[int, dict[tuple[int, bytes], list]] = {}
     for batch in batches:
         for gram, left, context, ths, places in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
