@@ -19,6 +19,7 @@ from ..functions.jsonx import canonical, finite, loose, object_keys
 from ..functions.rules import Rule, first_broken, schema_error, value_error
 from ..functions.text import blank
 from ..sources.readers import numbered_lines
+from ..sources.store import scratch
 from .records import example_rules
 
 # Categories, dialects, statuses and rows per category of each mode, the words for a relative day (whole words), the Arabic blocks.
@@ -174,7 +175,8 @@ def checked_rows(spark: SparkSession, path: str, mode: str = "template") -> Data
     """(line, rule, message, id, utterance, reference_date, category, tools): each row with its own first failure (null: none). Blank ids and bad dates are null."""
     if mode not in STATUS:
         raise ValueError(f"choose one validation mode of {tuple(STATUS)}")
-    rows = _columns(numbered_lines(spark, path))
+    # the file is one row; its lines are parsed side by side
+    rows = _columns(numbered_lines(spark, path).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     as_column = lambda message: message if isinstance(message, Column) else F.lit(message)
     broken = [F.when(F.coalesce(condition, F.lit(False)), F.struct(F.lit(n).alias("rule"), as_column(message).alias("message"))) for n, message, condition in row_rules(mode)]
     schemas = F.transform("tools", lambda t, at: F.when(t["schema"].isNotNull(), F.struct((TOOLS + 2 * at).cast("int").alias("rule"), t["schema"].alias("message"))))
@@ -204,10 +206,17 @@ def between_rows(rows: DataFrame, mode: str = "final") -> DataFrame:
 
 def violations(spark: SparkSession, path: str, mode: str = "template", rows: DataFrame | None = None) -> DataFrame:
     """(line, rule, message) of all lines' failures: each row's own first one, and all between rows."""
-    rows = checked_rows(spark, path, mode) if rows is None else rows
+    rows = staged(checked_rows(spark, path, mode)) if rows is None else rows
     return rows.where("rule IS NOT NULL").select("line", "rule", "message").union(between_rows(rows, mode))
 
 
+def staged(rows: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again: what several rules read is made once."""
+    where = scratch(rows.sparkSession, "labelled").path("rows")
+    rows.write.parquet(where)
+    return rows.sparkSession.read.schema(rows.schema).parquet(where)
+
+
 def category_quota(rows: DataFrame, categories: DataFrame, expected: int, key: str = "category") -> DataFrame:
     """(category, rows, ok): every category of the dimension, zero ones too."""
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
@@ -216,14 +225,11 @@ def category_quota(rows: DataFrame, categories: DataFrame, expected: int, key: s
 
 def validate(spark: SparkSession, path: str, mode: str = "template") -> dict[str, int]:
     """Rows per category, or ValueError with the first failure. The file is parsed once."""
-    rows = checked_rows(spark, path, mode).cache()
-    try:
-        if first := violations(spark, path, mode, rows).orderBy("line", "rule").limit(1).collect():
-            raise ValueError(f"line {first[0].line}: {first[0].message}")
-        dimension = spark.createDataFrame([(c,) for c in CATEGORIES], "category string")
-        found = {r.category: r for r in category_quota(rows, dimension, QUOTA[mode]).collect()}
-    finally:
-        rows.unpersist()
+    rows = staged(checked_rows(spark, path, mode))
+    if first := violations(spark, path, mode, rows).orderBy("line", "rule").limit(1).collect():
+        raise ValueError(f"line {first[0].line}: {first[0].message}")
+    dimension = spark.createDataFrame([(c,) for c in CATEGORIES], "category string")
+    found = {r.category: r for r in category_quota(rows, dimension, QUOTA[mode]).collect()}
     if wrong := {c: found[c].rows for c in CATEGORIES if not found[c].ok}:
         raise ValueError(f"expected {QUOTA[mode]} per category, got {wrong}")
     return {c: found[c].rows for c in CATEGORIES}
