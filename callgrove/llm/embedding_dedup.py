@@ -351,3 +351,15 @@ def embedding_dedup(vectors: DataFrame, *, cosine: float = 0.9, near: int = 12,
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), cosine=0.9)
     return out.select("vec_id", F.col("near_links").alias("n_links"), F.col("near_component").alias("component_id"), F.col("near_kept").alias("kept"))
+
+
+#: All pairs. The index is approximate; where it misses a link, the rows differ.
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v WHERE list_inner_product(e, e) > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM n x JOIN n y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_inner_product(x.e, y.e) / (x.norm * y.norm) >= 0.9),
+r(vec_id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.root = l.a),
+c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.vec_id, coalesce(k.n, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN k ON k.a = c.vec_id
+"""

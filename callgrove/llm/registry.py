@@ -25,4 +25,6 @@ SQL: dict[str, str] = {
     "op1_preference_format": preference.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op5_ngram_jaccard_join": ngram_join.OP5_SQL,
+    "op6_suffix_array_dedup": suffix_dedup.OP6_SQL,
+    "op9_pivot_permutation_dedup": embedding_dedup.OP9_SQL,
 }

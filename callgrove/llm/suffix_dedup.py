@@ -604,3 +604,30 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(docs, length=400, digest=True)
     removed = F.aggregate("suffix_spans", F.lit(0).cast("long"), lambda total, x: total + (x["end"] - x["start"]))
     return out.select("doc_id", F.col("suffix_n_bytes").alias("n_bytes"), removed.alias("n_removed"), F.size("suffix_spans").cast("long").alias("n_spans"), F.col("suffix_sha256").alias("kept_sha256"), F.col("suffix_text").alias("text"))
+
+
+#: All windows of 400 bytes by their MD5, places side by side as runs; characters that a cut would split stay whole in ``text``.
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+w AS (SELECT rid, i, md5(array_slice(b, i + 1, i + 400)) AS h FROM (SELECT rid, b, unnest(range(octet_length(b) - 399)) AS i FROM d WHERE octet_length(b) >= 400)),
+hit AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
+runs AS (
+  SELECT rid, min(i) AS a, max(i) + 400 AS e
+  FROM (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS g FROM (SELECT rid, i, CAST(coalesce(i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 400, true) AS INT) AS fresh FROM hit)) GROUP BY rid, g
+),
+x AS (SELECT runs.rid, a, e, hx FROM runs JOIN d USING (rid)),
+whole AS (
+  SELECT rid, a + CASE WHEN substr(hx, 2 * a + 1, 2) NOT BETWEEN '80' AND 'BF' THEN 0 WHEN substr(hx, 2 * a + 3, 2) NOT BETWEEN '80' AND 'BF' THEN 1 WHEN substr(hx, 2 * a + 5, 2) NOT BETWEEN '80' AND 'BF' THEN 2 ELSE 3 END AS a,
+         e - CASE WHEN substr(hx, 2 * e + 1, 2) NOT BETWEEN '80' AND 'BF' THEN 0 WHEN substr(hx, 2 * e - 1, 2) NOT BETWEEN '80' AND 'BF' THEN 1 WHEN substr(hx, 2 * e - 3, 2) NOT BETWEEN '80' AND 'BF' THEN 2 ELSE 3 END AS e FROM x
+),
+cut AS (SELECT rid, 'bytes' AS kind, a, e FROM runs UNION ALL SELECT rid, 'text', a, e FROM whole),
+kept AS (
+  SELECT rid, kind, string_agg(part, '' ORDER BY a) AS hx FROM (
+    SELECT cut.rid, kind, a, substr(hx, 2 * coalesce(lag(e) OVER p, 0) + 1, 2 * (a - coalesce(lag(e) OVER p, 0))) AS part FROM cut JOIN d USING (rid) WINDOW p AS (PARTITION BY cut.rid, kind ORDER BY a)
+    UNION ALL SELECT cut.rid, kind, max(e), substr(any_value(hx), 2 * max(e) + 1) FROM cut JOIN d USING (rid) GROUP BY cut.rid, kind
+  ) GROUP BY rid, kind
+)
+SELECT d.doc_id, octet_length(d.b) AS n_bytes, CAST(coalesce(s.removed, 0) AS BIGINT) AS n_removed, coalesce(s.n, 0) AS n_spans, sha256(unhex(coalesce(k.hx, d.hx))) AS kept_sha256, decode(unhex(coalesce(t.hx, d.hx))) AS text
+FROM d LEFT JOIN (SELECT rid, sum(e - a) AS removed, count(*) AS n FROM runs GROUP BY rid) s USING (rid)
+LEFT JOIN (SELECT rid, hx FROM kept WHERE kind = 'bytes') k USING (rid) LEFT JOIN (SELECT rid, hx FROM kept WHERE kind = 'text') t USING (rid)
+"""
