@@ -181,6 +181,49 @@ def test_later_models_use_earlier_ones():
     assert chain.models[1].dense[0] > 0.05 and len(chain.models[0].dense) == 0
 
 
+def dense_fit(x, y, options):
+    """The same model by dense matrices: standard scores choose the columns, then Adam on the mean log loss with L2."""
+    n = len(y)
+    prior = (y.sum() + 0.5) / (n + 1)
+    hits, seen, mean = x.T @ y, x.sum(0), y.mean()
+    score = np.abs(hits - seen * mean) / np.sqrt(np.maximum(seen, 1) * mean * (1 - mean)) * (seen >= options["least_rows"])
+    use = score > options["least_gap"]
+    z = np.c_[x * use, options["extra"], np.ones(n)]
+    w = np.zeros(z.shape[1])
+    w[-1] = math.log(prior / (1 - prior))
+    m = v = np.zeros_like(w)
+    for step in range(1, 201):
+        g = z.T @ (1 / (1 + np.exp(-(z @ w))) - y) / n + 1e-4 * np.r_[w[:-1], 0]
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    return w
+
+
+def test_chain_against_dense_matrices():
+    """Both models of a chain, the second with out-of-fold log-odds of the first, to 1e-6."""
+    rng = np.random.default_rng(8)
+    n, k = 300, 25
+    x = (rng.random((n, k)) < 0.3).astype(float)
+    first = (x[:, 0] + x[:, 1] + rng.normal(size=n) * 0.5 > 0.7).astype(float)
+    second = (first + x[:, 2] + rng.normal(size=n) * 0.5 > 1).astype(float)
+    rows, columns = np.nonzero(x)
+    buckets = (columns * 1000 + 7).astype(np.int64)
+    chain = Chain().fit(rows.astype(np.int32), buckets.astype(np.int32), np.stack([first, second], 1))
+    got = chain.predict(rows, buckets, n)
+    options = {"least_rows": 3, "least_gap": 4.0}
+    sigmoid = lambda a: 1 / (1 + np.exp(-a))
+    w1 = dense_fit(x, first, options | {"extra": np.zeros((n, 0))})
+    p1 = sigmoid(np.c_[x, np.ones(n)] @ w1)
+    assert np.allclose(got[0], p1, atol=1e-6)
+    odds, out = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / np.clip(1 - p, 1e-6, 1)), np.zeros(n)
+    for f in range(3):
+        train, test = np.arange(n) % 3 != f, np.arange(n) % 3 == f
+        w = dense_fit(x[train], first[train], options | {"extra": np.zeros((int(train.sum()), 0))})
+        out[test] = sigmoid(np.c_[x, np.ones(n)] @ w)[test]
+    w2 = dense_fit(x, second, options | {"extra": odds(out)[:, None]})
+    assert abs(w2[k]) > 0.05 and np.allclose(got[1], sigmoid(np.c_[x, odds(p1), np.ones(n)] @ w2), atol=1e-6)
+
+
 def test_features_ignore_neighbours():
     texts = [b"one two", b"", b"two THREE", "é ß".encode()]
     whole = features(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
