@@ -56,7 +56,12 @@ _NONE = np.int32(1 << 30)
 
 
 class Merges:
-    """Byte-pair merging of many words side by side: of a word's pairs the first of the least rank is merged, again and again."""
+    """Byte-pair merging of many words side by side: of a word's pairs the first of the least rank is merged, again and again.
+
+    Each merge looks at the whole word, so this is for words of up to the last of ``WIDTHS`` bytes.
+    """
+
+    WIDTHS = (4, 6, 8, 10, 13, 18, 32, 64)
 
     def __init__(self, model: dict):
         vocab = model["vocab"]
@@ -79,11 +84,11 @@ class Merges:
         return found
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words data[start:start + size] one after the other, and how many each has."""
+        """Ids of the words data[start:start + size] one after the other, and how many each has; none for longer words."""
         found, low, counts = [], 0, np.zeros(len(sizes), np.int64)
-        for width in (4, 6, 8, 10, 13, 18, 32, 64, 1 << 40):  # words of like length together
+        for width in self.WIDTHS:  # words of like length together
             which = np.flatnonzero((sizes > low) & (sizes <= width))
-            low, step = width, max(1, (1 << 20) // min(width, 1 << 14))
+            low, step = width, (1 << 20) // width
             for at in range(0, len(which), step):
                 part = which[at : at + step]
                 ids, counts[part] = self._merged(data, starts[part], sizes[part])
@@ -205,6 +210,11 @@ class Encoder:
         h = mix(span_hashes(prefix_hashes(data), starts, ends) + (ends - starts).astype(U64))
         _, first, kind = np.unique(h, return_index=True, return_inverse=True)
         ids, counts = self.merges(data, starts[first], (ends - starts)[first])
+        if len(long := np.flatnonzero((ends - starts)[first] > Merges.WIDTHS[-1])):  # the tokenizer's own merging has no matrix of them
+            alone = [np.frombuffer(self._encoded(data[starts[w] : ends[w]].tobytes().decode()), "<u4").astype(np.int32) for w in first[long]]
+            at = (np.cumsum(counts) - counts)[long]
+            counts[long] = [len(x) for x in alone]
+            ids = np.insert(ids, np.repeat(at, counts[long]), np.concatenate(alone))
         size = counts[kind]
         upto = np.cumsum(size)
         flat = ids[np.repeat((np.cumsum(counts) - counts)[kind] - (upto - size), size) + np.arange(int(size.sum()))].astype("<u4")

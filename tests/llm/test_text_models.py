@@ -55,7 +55,7 @@ def test_encoder_on_random_text(tokenizer):
 def test_merges_are_the_tokenizers(tokenizer):
     """Words of all lengths, those with one symbol again and again among them, and bytes that stand for no letter."""
     rng = random.Random(1)
-    words = ["a" * n for n in range(1, 90)] + ["abab" * 30, "ß" * 21, "…", "ſé"] + ["".join(rng.choice("etaoinshrdlué") for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    words = ["a" * n for n in range(1, 90)] + ["abab" * 30, "x" * 100_000, "abcde" * 5000 + " ab " + "edcba" * 4000, "ß" * 21, "…", "ſé"] + ["".join(rng.choice("etaoinshrdlué") for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
     for slab in (1, 1 << 20):
         for word, ids in zip(words, packing.Encoder(packing.default_tokenizer(), None, slab)(words), strict=True):
             assert np.frombuffer(ids, np.uint32).tolist() == tokenizer.encode(word, add_special_tokens=False).ids, word
