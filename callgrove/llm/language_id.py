@@ -5,16 +5,18 @@ that occurs in that text. A document is parsed into phrases: each is the longest
 last one ended. The fewer phrases, the nearer the language. Phrase counts are normalised by the sample's size (a phrase costs
 log2 of it in bits) and the document's length; the language with the least wins, on equal values the first in order.
 
-The whole text is parsed, in runs of ``RUN`` characters, so that many runs advance side by side: one table lookup a
-character and language for all runs of a batch. Each run starts a new phrase. The tables have at most
+The whole text is parsed as one. To let much of it advance side by side, one table lookup a character and language, it is dealt
+into runs of ``RUN`` characters: at first each starts a phrase; a run that the one before leaves in another state than it began with is
+parsed again from there, until all agree. Two parses fall together at the first phrase that both begin at one place, so that few runs
+need more than a second look; what doesn't agree after ``ROUNDS`` looks is parsed from there to its end in one go. The tables have at most
 ``2 * sample_chars`` states a language; a sample holds excerpts of the documents with the least hash of their id up to ``sample_chars``
 characters (its bound is this parameter and doesn't depend on the corpus). An excerpt has at most a hundredth of the sample, more only
 where a language has too few documents to fill it so, and starts at a place told by the hash. Every language with labelled text has a sample.
 
-Characters: letters are lower-cased, all white space, digits and marks count as one separator, and letters that a language's
-sample lacks match nothing (a phrase of their own).
+Characters: letters and the marks that combine with them are lower-cased, all else (white space, digits, punctuation) counts as one
+separator, and letters that a language's sample lacks match nothing (a phrase of their own).
 
-Edge cases. A text that is null, empty or without letters is ``und`` with score 0. Rows of the labels' side with null text or language
+Edge cases. A text that is null, empty or without letters (Unicode category L, in every plane) is ``und`` with score 0. Rows of the labels' side with null text or language
 are left out; without any, all documents are ``und``. Rows with a null id are predicted, and are never learnt from. Repeated rows
 are predicted each. The score is the winner's share of the inverse normalised counts, from 1 / languages to 1.
 """
@@ -32,9 +34,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import frees_memory, text_batches, text_slices
+from .common import runs as run_index
 
-#: Characters that are parsed as one run.
-RUN = 512
+#: Characters that advance as one run, and how often runs are looked at again before the rest of a text is parsed in one go.
+RUN, ROUNDS = 512, 32
 SAMPLE_CHARS = 40_000
 
 
@@ -89,7 +92,7 @@ def _lower_table() -> np.ndarray:
 
 
 def letters(points: np.ndarray) -> np.ndarray:
-    """Lower-cased letters, 0 for all else. Beyond the first 65,536 code points the distinct ones are looked up."""
+    """Lower-cased letters and marks, 0 for all else. Beyond the first 65,536 code points the distinct ones are looked up."""
     wide = points >= 1 << 16
     out = _lower_table()[np.where(wide, 0, points)]
     if wide.any():
@@ -98,6 +101,21 @@ def letters(points: np.ndarray) -> np.ndarray:
     return out
 
 
+@cache
+def _is_letter_table() -> np.ndarray:
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(1 << 16)])
+
+
+def is_letter(points: np.ndarray) -> np.ndarray:
+    """Where a letter stands; marks alone are none."""
+    wide = points >= 1 << 16
+    out = _is_letter_table()[np.where(wide, 0, points)]
+    if wide.any():
+        there, inverse = np.unique(points[wide], return_inverse=True)
+        out[wide] = np.array([unicodedata.category(chr(c))[0] == "L" for c in there.tolist()])[inverse]
+    return out
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
@@ -130,15 +148,46 @@ class Model:
         at[at == len(self.known)] = 0
         return np.where(self.known[at] == low, at, self.symbols - 1).astype(np.int32)
 
-    def phrases(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """(runs, languages) numbers of phrases of codes[start:end], at most RUN each."""
+    def phrases(self, codes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """(texts, languages) numbers of phrases of each text codes[place[i]:place[i + 1]], parsed as one."""
+        sizes = np.diff(place)
+        pieces = -(-sizes // RUN)
+        text = np.repeat(np.arange(len(sizes)), pieces)
+        starts = place[text] + run_index(pieces) * RUN
+        ends = np.minimum(starts + RUN, place[text + 1])
+        fresh = starts == place[text]
+        entry = np.tile(np.array(self.roots, np.int32), (len(text), 1))
+        breaks, left = self.parse(codes, starts, ends, entry)
+        last = np.flatnonzero(np.r_[fresh[1:], np.ones(min(1, len(fresh)), bool)])
+        for look in range(ROUNDS + 1):
+            due = np.concatenate([entry[:1], left[:-1]])
+            wrong = np.flatnonzero((due != entry).any(axis=1) & ~fresh)
+            if not len(wrong):
+                break
+            if look < ROUNDS:
+                entry[wrong] = due[wrong]
+                breaks[wrong], left[wrong] = self.parse(codes, starts[wrong], ends[wrong], entry[wrong])
+                continue
+            first = wrong[np.r_[True, text[wrong[1:]] != text[wrong[:-1]]]]
+            tails, states = self.parse(codes, starts[first], place[text[first] + 1], due[first])
+            end = np.searchsorted(text, text[first], "right")
+            after = np.repeat(first, end - first) + run_index(end - first)
+            breaks[after] = 0
+            breaks[first], left[end - 1] = tails, states
+        total = np.zeros((len(sizes), len(self.roots)), np.int64)
+        np.add.at(total, text, breaks)
+        total[text[last]] += left[last] != np.array(self.roots, np.int32)  # the phrase that the end cuts off
+        return total
+
+    def parse(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each codes[start:end], begun in the states ``entry``: how many phrases end in it, and the states after it; (runs, languages)."""
         order = np.argsort(starts - ends, kind="stable")  # longest first, so that runs still open are a head
         starts, ends = starts[order], ends[order]
         sizes = ends - starts
         n, flat = len(starts), self.table.reshape(-1)
         roots = np.array(self.roots, np.int32)[:, None]
-        state = np.repeat(roots, n, axis=1)
-        count = np.ones((len(roots), n), np.int32)
+        state = entry[order].T.copy()
+        count = np.zeros((len(roots), n), np.int32)
         open_ = np.searchsorted(-sizes, -np.arange(1, int(sizes.max(initial=0)) + 1), "right")
         for step, k in enumerate(open_.tolist()):
             c = codes[starts[:k] + step]
@@ -153,9 +202,9 @@ class Model:
                 count[:, :k] += lost & miss
                 s = np.where(lost, roots, s)
             state[:, :k] = s
-        out = np.empty((n, len(roots)), np.int64)
-        out[order] = count.T
-        return out
+        out, after = np.empty((n, len(roots)), np.int64), np.empty((n, len(roots)), np.int32)
+        out[order], after[order] = count.T, state.T
+        return out, after
 
 
 @frees_memory
@@ -168,7 +217,7 @@ def _predict(batches: Iterator[pa.RecordBatch], shared, column: str = "text") ->
             lead = (data & 0xC0) != 0x80
             place = np.r_[0, np.cumsum(lead)][offsets]  # of each row in characters
             points = code_points(text)
-            has = np.diff(np.r_[0, np.cumsum(letters(points) > 0)][place]) > 0
+            has = np.diff(np.r_[0, np.cumsum(is_letter(points))][place]) > 0
             lang, score = np.full(n, "und", object), np.zeros(n)
             if len(model.langs) and has.any():
                 codes = model.codes(points)
@@ -177,12 +226,7 @@ def _predict(batches: Iterator[pa.RecordBatch], shared, column: str = "text") ->
                 codes = codes[keep]
                 place = np.r_[0, np.cumsum(keep)][place]
                 sizes = np.diff(place)
-                runs = -(-sizes // RUN)
-                row = np.repeat(np.arange(n), runs)
-                index = np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs)
-                starts = place[row] + index * RUN
-                counts = model.phrases(codes, starts, np.minimum(starts + RUN, place[row + 1]))
-                total = np.stack([np.bincount(row, counts[:, k], minlength=n) for k in range(len(model.langs))], axis=1)
+                total = model.phrases(codes, place)
                 cost = np.maximum(total, 1) * model.bits / np.maximum(sizes, 1)[:, None]
                 best = cost.argmin(axis=1)
                 share = (1 / cost) / (1 / cost).sum(axis=1, keepdims=True)

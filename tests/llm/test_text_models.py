@@ -339,14 +339,23 @@ def test_phrases_are_longest_matches():
     sample = "".join(rng.choice("abc") for _ in range(300))
     model = language_id.Model({"x": [sample], "y": ["".join(rng.choice("abd") for _ in range(200))]})
     texts = ["".join(rng.choice("abcdz") for _ in range(rng.randrange(1, 60))) for _ in range(50)]
+    assert phrases(model, texts) == [longest_matches(t, sample) for t in texts]
+
+
+def phrases(model, texts):
     codes = model.codes(language_id.code_points("".join(texts)))
-    ends = np.cumsum([len(t) for t in texts])
-    got = model.phrases(codes, ends - [len(t) for t in texts], ends)[:, 0]
-    for t, n in zip(texts, got.tolist(), strict=True):
-        want = longest_matches(t, sample)
-        assert want <= n <= want + 1 + sum(c in "dz" for c in t), t
-    plain = [k for k, t in enumerate(texts) if not set(t) & set("dz")]
-    assert all(got[k] == longest_matches(texts[k], sample) for k in plain)
+    return model.phrases(codes, np.cumsum([0, *map(len, texts)]))[:, 0].tolist()
+
+
+def test_long_texts_are_parsed_as_one():
+    """Phrases cross the places where runs begin, also where two parses never fall together, and among other texts of any length."""
+    rng = random.Random(5)
+    sample = "".join(rng.choice("abc") for _ in range(400)) + "d" * 37
+    model = language_id.Model({"x": [sample], "y": ["abcd"]})
+    texts = ["".join(rng.choice("abcdz") for _ in range(n)) for n in (6000, 1, 512, 513, 1024)]
+    texts += ["d" * 40_000, "", "abc" * 900 + "d" * 20_000 + "cab" * 700, "z" * 2000]
+    assert phrases(model, texts) == [longest_matches(t, sample) for t in texts]
+    assert model.phrases(np.zeros(0, np.int32), np.zeros(3, np.int64)).tolist() == [[0, 0]] * 2
 
 
 def test_language(spark):
@@ -377,6 +386,8 @@ def test_wide_symbols_are_no_letters(spark):
     rows = [(i, "the river walks slowly " * 4, "en") for i in range(6)] + [(10, "🙂🙂 🚀", "en"), (11, "𝄞🂡", "en"), (12, "𐐀𐐨", "en")]
     got = {r.doc_id: r for r in language_id.language_id(docs(spark, rows), F.col("doc_id") < 6).collect()}
     assert [(got[i].lang_pred, got[i].lang_score) for i in (10, 11)] == [("und", 0.0)] * 2 and got[12].lang_pred == "en"
+    marks = language_id.language_id(docs(spark, [*rows, (20, "\u0301\u0301", "en"), (21, "e\u0301", "en")]), F.col("doc_id") < 6).collect()
+    assert {r.doc_id: r.lang_pred for r in marks if r.doc_id in (20, 21)} == {20: "und", 21: "en"}
     assert language_id.letters(language_id.code_points("A🙂𐐀𐐨")).tolist() == [ord("a"), 0, 0x10428, 0x10428]
 
 
