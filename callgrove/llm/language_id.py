@@ -6,9 +6,9 @@ last one ended. The fewer phrases, the nearer the language. Phrase counts are no
 log2 of it in bits) and the document's length; the language with the least wins, on equal values the first in order.
 
 The whole text is parsed as one. To let much of it advance side by side, one table lookup a character and language, it is dealt
-into runs of ``RUN`` characters: at first each starts a phrase; a run that the one before leaves in another state than it began with is
-parsed again from there, until all agree. Two parses fall together at the first phrase that both begin at one place, so that few runs
-need more than a second look; what doesn't agree after ``ROUNDS`` looks is parsed from there to its end in one go. The tables have at most
+into runs of ``RUN`` characters, each a head of ``HEAD`` and the rest: at first each run starts a phrase; a piece that the one before
+leaves in another state than it began with is parsed again from there, until all agree. Two parses fall together at the first phrase
+that both begin at one place, so that heads need a second look and few pieces more; what doesn't agree after ``ROUNDS`` looks is parsed from there to its end in one go. The tables have at most
 ``2 * sample_chars`` states a language; a sample holds excerpts of the documents with the least hash of their id up to ``sample_chars``
 characters (its bound is this parameter and doesn't depend on the corpus). An excerpt has at most a hundredth of the sample, more only
 where a language has too few documents to fill it so, and starts at a place told by the hash. Every language with labelled text has a sample.
@@ -36,8 +36,8 @@ from pyspark.sql import types as T
 from .common import frees_memory, text_batches, text_slices
 from .common import runs as run_index
 
-#: Characters that advance as one run, and how often runs are looked at again before the rest of a text is parsed in one go.
-RUN, ROUNDS = 512, 32
+#: Characters that advance as one run, those of its head, and how often pieces are looked at again before the rest of a text is parsed in one go.
+RUN, HEAD, ROUNDS = 512, 64, 32
 SAMPLE_CHARS = 40_000
 
 
@@ -151,13 +151,17 @@ class Model:
     def phrases(self, codes: np.ndarray, place: np.ndarray) -> np.ndarray:
         """(texts, languages) numbers of phrases of each text codes[place[i]:place[i + 1]], parsed as one."""
         sizes = np.diff(place)
-        pieces = -(-sizes // RUN)
-        text = np.repeat(np.arange(len(sizes)), pieces)
-        starts = place[text] + run_index(pieces) * RUN
-        ends = np.minimum(starts + RUN, place[text + 1])
-        fresh = starts == place[text]
+        pieces = sizes // RUN * 2 + (sizes % RUN > 0) + (sizes % RUN > HEAD)
+        text, index = np.repeat(np.arange(len(sizes)), pieces), run_index(pieces)
+        starts = place[text] + index // 2 * RUN + index % 2 * HEAD
+        ends = np.minimum(starts + np.where(index % 2, RUN - HEAD, HEAD), place[text + 1])
+        fresh = index == 0
         entry = np.tile(np.array(self.roots, np.int32), (len(text), 1))
-        breaks, left = self.parse(codes, starts, ends, entry)
+        breaks, left = np.zeros(entry.shape, np.int64), entry.copy()
+        heads, rests = np.flatnonzero(index % 2 == 0), np.flatnonzero(index % 2)
+        breaks[heads], left[heads] = self.parse(codes, starts[heads], ends[heads], entry[heads])
+        entry[rests] = left[rests - 1]
+        breaks[rests], left[rests] = self.parse(codes, starts[rests], ends[rests], entry[rests])
         last = np.flatnonzero(np.r_[fresh[1:], np.ones(min(1, len(fresh)), bool)])
         for look in range(ROUNDS + 1):
             due = np.concatenate([entry[:1], left[:-1]])
