@@ -208,11 +208,66 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def _eights(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of each data[start:end], eight to a number (the last filled up with zeros); how many numbers each has, and where its first one is."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    counts = np.maximum((ends - starts + 7) // 8, 1)
+    at = np.repeat(starts, counts) + 8 * runs(counts)
+    left = np.repeat(ends, counts) - at
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))[at] & _FIRST_BYTES[np.minimum(left, 8)]
+    return eights, counts, np.cumsum(counts) - counts
+
+
+def _hashed(eights: np.ndarray, counts: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    if not len(heads):
+        return np.zeros(0, U64)
+    key = mix((runs(counts) + 1).astype(U64) * U64(BASE))
+    return mix(np.add.reduceat(mix(eights ^ key), heads) + sizes.astype(U64) * U64(BASE))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, fold: bool = False) -> np.ndarray:
+    """64-bit hashes of data[start:end] (fold: A-Z as a-z). Each eight bytes are mixed with their place before they are summed, so that the
+    hash isn't linear in the bytes: strings that collide under any polynomial modulo 2**64 (Thue-Morse's) don't here."""
+    eights, counts, heads = _eights(_FOLD[data] if fold else data, starts, ends)
+    return _hashed(eights, counts, heads, ends - starts)
+
+
+def word_kinds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first word of each kind, and the kind of each word; words are of a kind if all their bytes are equal.
+
+    Kinds are found by hash; each word is then compared with the first of its kind, and those that differ get kinds of their own.
+    """
+    eights, counts, heads = _eights(data, starts, ends)
+    _, first, kind = np.unique(_hashed(eights, counts, heads, ends - starts), return_index=True, return_inverse=True)
+    rep = first[kind]
+    wrong = (ends - starts) != (ends - starts)[rep]
+    like = np.flatnonzero(~wrong)
+    at = runs(counts[like])
+    unequal = eights[np.repeat(heads[like], counts[like]) + at] != eights[np.repeat(heads[rep[like]], counts[like]) + at]
+    wrong[like[np.repeat(np.arange(len(like)), counts[like])[unequal]]] = True
+    if wrong.any():
+        own: dict[bytes, int] = {}
+        more = []
+        for w in np.flatnonzero(wrong).tolist():
+            word = data[starts[w] : ends[w]].tobytes()
+            if word not in own:
+                own[word] = len(first) + len(more)
+                more.append(w)
+            kind[w] = own[word]
+        first = np.r_[first, np.array(more, first.dtype)]
+    return first, kind
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
     """For each row the sorted distinct 64-bit hashes of its runs of ``words`` lower-cased words; of fewer words, the whole as one."""
     starts, ends, rows = words_of(data, offsets)
-    prefix = prefix_hashes(data, BYTE_CODE_LOWER)
-    h = mix(span_hashes(prefix, starts, ends) + (ends - starts).astype(U64))
+    h = word_hashes(data, starts, ends, fold=True)
     bounds = np.searchsorted(rows, np.arange(len(offsets)))
     if len(h) >= words:
         grams = np.zeros(len(h) - words + 1, U64)

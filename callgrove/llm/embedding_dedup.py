@@ -58,6 +58,9 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of length 1. The largest component is brought to between 1/2 and 1 first, by a power of two, so that no square over- or underflows."""
+    _, power = np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))
+    x = np.ldexp(x, -power)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

@@ -19,7 +19,7 @@ and no component is missed. A set that meets very many others is salted over sev
 Cost. Texts are hashed once and never shuffled; the largest shuffle holds 6 bytes per distinct n-gram of a document.
 The fragments' number follows the session's shuffle partitions, so a fragment's memory stays the same as both grow.
 
-Equality of n-grams is that of 48-bit (pairs) and 64-bit (sets) hashes; two different n-grams of a pair of documents with
+Equality of n-grams is that of 48-bit (pairs) and 64-bit (sets) hashes, which aren't linear in a word's bytes; two different n-grams of a pair of documents with
 10,000 n-grams each fall together with a chance of 4e-7.
 
 Edge cases. Null and empty texts and texts without words have an empty set and link with nothing: their component is

@@ -42,7 +42,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, IntTable, Stages, frees_memory, mix, partitions, prefix_hashes, runs, span_hashes, text_batches
+from .common import U64, IntTable, Stages, frees_memory, partitions, runs, text_batches, word_kinds
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
@@ -207,8 +207,7 @@ class Encoder:
         raw = [t.lower().encode() for t in texts]
         data = np.frombuffer(b"\n".join(raw), np.uint8)
         starts, ends = pattern_words(data)
-        h = mix(span_hashes(prefix_hashes(data), starts, ends) + (ends - starts).astype(U64))
-        _, first, kind = np.unique(h, return_index=True, return_inverse=True)
+        first, kind = word_kinds(data, starts, ends)
         ids, counts = self.merges(data, starts[first], (ends - starts)[first])
         if len(long := np.flatnonzero((ends - starts)[first] > Merges.WIDTHS[-1])):  # the tokenizer's own merging has no matrix of them
             alone = [np.frombuffer(self._encoded(data[starts[w] : ends[w]].tobytes().decode()), "<u4").astype(np.int32) for w in first[long]]
@@ -418,7 +417,13 @@ def _swept(batches: Iterator[pa.RecordBatch], capacity: int, number: int, again:
 
 
 def best_fit_packing(pieces: DataFrame, *, capacity: int, lane_rows: int = 50_000) -> DataFrame:
-    """``pieces`` (any rows with a column length of at most ``capacity``) with sequence_id and offset. lane_rows: documents and gaps of a task."""
+    """``pieces`` (any rows with a column length of at most ``capacity``) with sequence_id and offset. lane_rows: documents and gaps of a task.
+
+    Input columns sequence_id and offset are replaced; all others pass through, whatever their names, but for pack__row, which is refused. A null length counts as 0: the row takes no
+    room and stands at the start of sequence 0.
+    """
+    if "pack__row" in pieces.columns:
+        raise ValueError("pack__row is a column of the packing's own; rename the input's")
     spark = pieces.sparkSession
     stages = Stages(spark, "packing")
     pieces = pieces.drop("sequence_id", "offset")
@@ -447,7 +452,7 @@ def best_fit_packing(pieces: DataFrame, *, capacity: int, lane_rows: int = 50_00
     where = placed[0]
     for more in placed[1:]:
         where = where.union(more)
-    found = held.join(where, F.col("pack__row") == F.col("row"), "left")
+    found = held.join(where.withColumnRenamed("row", "pack__row"), "pack__row", "left")
     return found.select(*pieces.columns, F.coalesce("sequence_id", F.lit(0)).alias("sequence_id"), F.coalesce("offset", F.lit(0)).alias("offset"))
 
 

@@ -40,7 +40,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, IntTable, frees_memory, mix, prefix_hashes, runs, span_hashes, text_batches
+from .common import BASE, U64, IntTable, frees_memory, mix, runs, text_batches, word_kinds
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
 MARK = "▁".encode()
@@ -396,8 +396,7 @@ class Samples:
 
     def __init__(self, voc: Vocabulary, raw: list[bytes], keys: np.ndarray, k: int, seed: int):
         data, starts, ends, rows = _words(raw)
-        h = mix(span_hashes(prefix_hashes(data), starts, ends) + (ends - starts).astype(U64))
-        _, first, kind = np.unique(h, return_index=True, return_inverse=True)
+        first, kind = word_kinds(data, starts, ends)
         sizes = (ends - starts)[first]
         order = np.argsort(-sizes, kind="stable")
         place = np.empty(len(order), np.int64)

@@ -285,3 +285,9 @@ def test_embeddings_empty(spark):
     assert embedding_dedup(vectors(spark, [(1, None)])).collect()[0].near_component == 1
     twins = embedding_dedup(vectors(spark, [(7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [1.0, 0.0])])).collect()
     assert {r.near_links for r in twins} == {2} and {r.near_component for r in twins} == {7}
+
+
+def test_very_large_and_very_small_components_link(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 0.0]), (3, [1.0, 0.0]), (4, [1e-300, 1e-310]), (5, [0.0, 5e-324]), (6, [0.0, 1e308])]
+    got = {r.vec_id: (r.near_links, r.near_component) for r in embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {**dict.fromkeys((1, 2, 3, 4), (3, 1)), **dict.fromkeys((5, 6), (1, 5))}
