@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, language_id, ngram_join, packing, preference, quality, sentencepiece_sampling, suffix_dedup, toxicity
+from . import embedding_dedup, exact_dedup, language_id, ngram_join, packing, preference, quality, sentencepiece_sampling, suffix_dedup, toxicity, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preference_format": preference.op1,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language_id.op8,
     "op9_pivot_permutation_dedup": embedding_dedup.op9,
     "op10_sentencepiece_gumbel": sentencepiece_sampling.op10,
+    "op13_yinyang_codebooks": vector_codes.op13,
 }
 
 SQL: dict[str, str] = {
@@ -27,4 +28,5 @@ SQL: dict[str, str] = {
     "op5_ngram_jaccard_join": ngram_join.OP5_SQL,
     "op6_suffix_array_dedup": suffix_dedup.OP6_SQL,
     "op9_pivot_permutation_dedup": embedding_dedup.OP9_SQL,
+    "op13_yinyang_codebooks": vector_codes.OP13_SQL,
 }

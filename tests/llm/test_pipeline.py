@@ -98,7 +98,7 @@ def test_run_is_the_stages(spark, sf_dir, steps):
 
 def test_one_query_for_each_operator():
     numbers = [int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES]
-    assert sorted(numbers) == list(range(1, 11)) and set(registry.SQL) <= set(registry.QUERIES)
+    assert sorted(numbers) == list(range(1, 14)) and set(registry.SQL) <= set(registry.QUERIES)
 
 
 ODD = [(1, "plain text of some words", "en", "s", 5), (1, "plain text of some words", "en", "s", 5), (2, None, None, None, None), (None, "no id here", "de", "s", 1), (3, "", "en", None, 0), (4, "ü" * 3000, "de", "s", 3000), (5, "ü" * 2999 + "x", "de", "s", 3000), (6, " \n\t", "xx", "s", 3)]
