@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_repair, embedding_dedup, exact_dedup, language_id, ngram_join, packing, preference, quality, sentencepiece_sampling, suffix_dedup, toxicity, vector_codes
+from . import conversation_repair, embedding_dedup, exact_dedup, hmm_lm, language_id, ngram_join, packing, preference, quality, sentencepiece_sampling, suffix_dedup, toxicity, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preference_format": preference.op1,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language_id.op8,
     "op9_pivot_permutation_dedup": embedding_dedup.op9,
     "op10_sentencepiece_gumbel": sentencepiece_sampling.op10,
+    "op11_hidden_markov_scores": hmm_lm.op11,
     "op12_conversation_repair": conversation_repair.op12,
     "op13_yinyang_codebooks": vector_codes.op13,
 }
