@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK, CELLS = 2048, 400_000
+CHUNK, CELLS = 2048, 200_000
 #: Steps from one scaling to the next; as many emissions multiplied stay far above the least double.
 SCALED = 8
 

@@ -9,7 +9,7 @@ A bounded sample of texts only gives the point that these rounds start from. Sco
 
 The base score is that of independent words: log10((c + 1) / (N + V + 1)) each.
 
-At scale. Texts are read once, in slabs of about ``SLAB`` bytes: a row with each different word's hash and the texts as numbers of these words, written to the shared folder. Counts, rounds and
+At scale. Texts are read once, in slabs of about ``SLAB`` bytes: a row with each different word's hash and the texts as numbers of these words (the lowest bytes of all numbers first, then the next), written to the shared folder. Counts, rounds and
 scores run on slabs. Words meet their counts by an equi-join of (word, slab) with the counted words, so what travels is each word once a slab, however often it stands there, and
 nothing that grows with the corpus is broadcast or collected: the model is bounded by its parameters, sums are counted in Spark. A slab is put together with its words' counts
 by slab. A single text longer than a slab is a slab of its own.
@@ -37,7 +37,7 @@ from .common import U64, Stages, frees_memory, text_batches, text_slices, word_h
 from .hmm import Hmm, first_model, improved
 
 #: Bytes of text in a slab.
-SLAB = 8 << 20
+SLAB = 4 << 20
 #: Of a text that the starting point is fitted on, so many tokens from a place told by its hash.
 EXCERPT = 1000
 _SLABS = "slab long, n_learn long, learn binary, spots binary, lengths binary, words binary, tokens binary"
@@ -91,9 +91,14 @@ def _slabs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
     part = TaskContext.get().partitionId()
     for number, ((ids, learn, spots), data, offsets) in enumerate(_gathered(batches, most)):
         starts, ends, rows = words_of(data, offsets)
-        words, tokens = np.unique(word_hashes(data, starts, ends, fold=True), return_inverse=True)
         lengths = np.bincount(rows, minlength=len(ids)).astype("<i8")
-        blobs = [learn.to_numpy(zero_copy_only=False).astype(np.uint8), spots.to_numpy().astype("<i8"), lengths, words.astype("<u8"), tokens.astype("<u4" if len(words) > 1 << 16 else "<u2")]
+        words, tokens, n = np.unique(word_hashes(data, starts, ends, fold=True), return_inverse=True, return_counts=True)
+        del data, starts, ends, rows
+        order = np.argsort(-n, kind="stable")  # frequent words have small numbers, whose upper bytes compress to nothing
+        rank = np.empty(len(order), "<u4")
+        rank[order] = np.arange(len(order))
+        planes = np.ascontiguousarray(rank[tokens].view(np.uint8).reshape(-1, 4).T)
+        blobs = [learn.to_numpy(zero_copy_only=False).astype(np.uint8), spots.to_numpy().astype("<i8"), lengths, words[order].astype("<u8"), planes]
         yield pa.RecordBatch.from_arrays([pa.array([part << 32 | number], pa.int64()), pa.array([int(blobs[0].sum())], pa.int64()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs), pa.array([ids.to_pylist()], pa.list_(ids.type))], names=["slab", "n_learn", "learn", "spots", "lengths", "words", "tokens", "ids"])
 
 
@@ -106,7 +111,7 @@ class Slab:
         self.spots = np.frombuffer(row["spots"], "<i8")
         self.lengths = np.frombuffer(row["lengths"], "<i8")
         self.words = np.frombuffer(row["words"], "<u8")
-        self.tokens = np.frombuffer(row["tokens"], "<u4" if len(self.words) > 1 << 16 else "<u2")
+        self.tokens = np.ascontiguousarray(np.frombuffer(row["tokens"], np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
     def classes(self, bits: int, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Classes of the tokens of all (or some) texts with their ends, one text after the other, and where each begins."""

@@ -129,7 +129,7 @@ def test_scores_are_the_models(spark, monkeypatch):
     """Small slabs; shares of classes and the recursion, text by text, with the model that Spark's sums gave."""
     monkeypatch.setattr(hmm_lm, "SLAB", 500)
     kept = []
-    monkeypatch.setattr(hmm_lm, "Trained", lambda *a, made=hmm_lm.Trained: kept.append(made(*a)) or kept[-1])
+    monkeypatch.setattr(hmm_lm, "trained", lambda *a, real=hmm_lm.trained, **options: kept.append(real(*a, **options)) or kept[-1])
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice(["Ein", "wort", "la", "mot", "x", "ü", f"w{rng.randrange(300)}"]) for _ in range(rng.randrange(60)))) for i in range(150)]
     fits: list[float] = []
