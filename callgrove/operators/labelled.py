@@ -175,8 +175,7 @@ def checked_rows(spark: SparkSession, path: str, mode: str = "template") -> Data
     """(line, rule, message, id, utterance, reference_date, category, tools): each row with its own first failure (null: none). Blank ids and bad dates are null."""
     if mode not in STATUS:
         raise ValueError(f"choose one validation mode of {tuple(STATUS)}")
-    # the file is one row; its lines are parsed side by side
-    rows = _columns(numbered_lines(spark, path).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = _columns(numbered_lines(spark, path))
     as_column = lambda message: message if isinstance(message, Column) else F.lit(message)
     broken = [F.when(F.coalesce(condition, F.lit(False)), F.struct(F.lit(n).alias("rule"), as_column(message).alias("message"))) for n, message, condition in row_rules(mode)]
     schemas = F.transform("tools", lambda t, at: F.when(t["schema"].isNotNull(), F.struct((TOOLS + 2 * at).cast("int").alias("rule"), t["schema"].alias("message"))))
@@ -192,9 +191,9 @@ def between_rows(rows: DataFrame, mode: str = "final") -> DataFrame:
         first = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("line").alias("first"))
         found.append(rows.join(first, column).where("line > first").select("line", F.lit(rule).alias("rule"), message.alias("message")))
     if mode != "template":
-        dated = rows.where("reference_date IS NOT NULL").withColumn("one", F.lit(1))
-        first = dated.groupBy("one").agg(F.min_by("reference_date", "line").alias("first"))
-        found.append(dated.join(first, "one").where("reference_date <> first").select("line", F.lit(DATE_FIXED).alias("rule"), F.lit("reference_date must be fixed across set").alias("message")))
+        dated = rows.where("reference_date IS NOT NULL")
+        first = dated.agg(F.min_by("reference_date", "line").alias("first"))  # one row
+        found.append(dated.crossJoin(F.broadcast(first)).where("reference_date <> first").select("line", F.lit(DATE_FIXED).alias("rule"), F.lit("reference_date must be fixed across set").alias("message")))
     tools = rows.select("line", F.posexplode("tools").alias("at", "t")).select("line", "at", "t.name", "t.definition").where("definition IS NOT NULL")
     first = tools.groupBy("name").agg(F.min_by("definition", F.struct("line", "at")).alias("first"))
     found.append(tools.join(first, "name").where("definition <> first").select("line", (TOOLS + 2 * F.col("at") + 1).alias("rule"), F.concat(F.lit("tool definition changed: "), F.col("name")).alias("message")))

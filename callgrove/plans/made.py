@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonx import response
 from ..functions.text import token_lengths
-from ..operators import corpus, labelled, records, runs
+from ..operators import corpus, labelled, ordinals, records, runs
 from ..sources import benchmarks, suites
+from ..sources.commits import CommitLog
 from ..sources.readers import document_items, jsonl, numbered_lines, table
 from ..sources.store import Store, scratch
 from .design import made_design
@@ -29,12 +30,19 @@ def query(sql: str) -> Callable[[Query], Query]:
     return add
 
 
-def one_file(store: Store, name: str, rows: DataFrame, order: str) -> str:
-    """(order, value) as the lines of one text file, in order; for hand-sized sets, whose line numbers matter."""
-    rows.select(order, "value").coalesce(1).sortWithinPartitions(order).select("value").write.text(store.path(name))
+def in_order(store: Store, name: str, rows: DataFrame, order: str) -> str:
+    """(order, value) as lines of a folder of text files, whose names follow the order."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.select(order, "value").repartitionByRange(tasks, order).sortWithinPartitions(order).select("value").write.text(store.path(name))
     return store.path(name)
 
 
+def in_brackets(rows: DataFrame, key: str, item: Column, opens: str, closes: str) -> DataFrame:
+    """(key, value): items with what stands between them; the first and the last one carry the brackets."""
+    ends = rows.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
+    return rows.select(key, F.concat(F.when(F.col(key) == ends.a, opens).otherwise(""), item, F.when(F.col(key) == ends.b, closes).otherwise(",")).alias("value"))
+
+
 def text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -51,26 +59,36 @@ def jsonl_rows(spark, sf_dir):
     return jsonl(spark, store.path("events"), "event_id long, event_type string")
 
 
-@query("SELECT CAST(3 * n_nationkey + 2 AS INT) AS line, n_name AS value FROM nation")
+@query("SELECT 3 * (row_number() OVER (ORDER BY c_custkey) - 1) + 2 AS line, c_name AS value FROM customer")
 def numbered_rows(spark, sf_dir):
     """Lines keep their numbers: one blank before and one after each."""
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("\n"), "n_name", F.lit("\n")).alias("value"))
-    return numbered_lines(spark, one_file(scratch(spark, "lines"), "nation", rows, "n_nationkey"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("\n"), "c_name", F.lit("\r\n")).alias("value"))
+    return numbered_lines(spark, in_order(scratch(spark, "lines"), "customers", rows, "c_custkey"))
+
+
+def _grouped_document(store: Store, rows: DataFrame, group: str, key: str, item: Column) -> str:
+    """One JSON object of lists, in as many files as there are partitions; rows with the same group stand in its list."""
+    ends = rows.groupBy(group).agg(F.min(key).alias("a"), F.max(key).alias("b"))
+    names = ends.agg(F.min(group).alias("a"), F.max(group).alias("b")).first()
+    head = text(F.when(F.col(group) == names.a, "{").otherwise(""), '"', F.col(group), '":[')
+    tail = F.when(F.col(group) == names.b, "]}").otherwise("],")
+    value = F.concat(F.when(F.col(key) == F.col("a"), head).otherwise(""), item, F.when(F.col(key) == F.col("b"), tail).otherwise(","))
+    return in_order(store, "tools.json", rows.join(ends, group).select(F.struct(group, key).alias("at"), value.alias("value")), "at")
 
 
 def _tools_document(store: Store, nations: DataFrame) -> str:
-    """One JSON object of lists: the nations of each region as tools."""
+    """The nations of each region as tools."""
     tool = text('{"name":"', F.col("n_name"), '","description":"d","parameters":{"type":"object","properties":{"k":{"type":"integer"}}}}')
-    groups = nations.select("n_regionkey", "n_nationkey", tool.alias("t")).groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "t"))), lambda x: x["t"]), ",").alias("g"))
-    member = text('"', F.col("n_regionkey"), '":[', F.col("g"), "]")
-    whole = groups.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_regionkey", member.alias("m")))), lambda x: x["m"]), ",").alias("all"))
-    return one_file(store, "tools.json", whole.select(F.lit(0).alias("n"), text("{", F.col("all"), "}").alias("value")), "n")
+    return _grouped_document(store, nations.select("n_regionkey", "n_nationkey", "n_name"), "n_regionkey", "n_nationkey", tool)
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS INT) AS ord, n_name AS name FROM nation")
+@query("SELECT CAST(row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS INT) AS ord, c_name AS name FROM customer")
 def grouped_document(spark, sf_dir):
-    store = scratch(spark, "document")
-    return document_items(spark, _tools_document(store, table(spark, sf_dir, "nation"))).select("ord", F.get_json_object("item", "$.name").alias("name"))
+    """A document with the customers of each nation in a list, braces and quotes in their texts."""
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name")
+    item = F.to_json(F.struct(F.col("c_name").alias("name"), F.lit('a "}", [{').alias("note"), F.struct(F.col("c_custkey").alias("k")).alias("inner")))
+    path = _grouped_document(scratch(spark, "document"), rows, "c_nationkey", "c_custkey", item)
+    return document_items(spark, path).select("ord", F.get_json_object("item", "$.name").alias("name"))
 
 
 @query("""WITH c AS (SELECT c_custkey, c_nationkey, c_custkey % 5 = 0 AS neg, row_number() OVER (ORDER BY c_custkey) - 1 AS ord, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)
@@ -82,8 +100,8 @@ def loaded_examples(spark, sf_dir):
     negative = F.col("c_custkey") % 5 == 0
     call = F.when(negative, F.lit('"expected_function":null,"expected_arguments":null')).otherwise(text('"expected_function":"NATION_', n, '","expected_arguments":{ "k" : ', F.col("c_custkey"), "}"))
     item = text('{"id":"q', n, '","domain":"d","utterance":"u","is_negative":', negative, ",", call, ',"available_tools":["NATION_', (n + 1) % 25, '","NATION_', n, '"]}')
-    whole = c.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", item.alias("i")))), lambda x: x["i"]), ",").alias("all")).select(F.lit(0).alias("n"), text("[", F.col("all"), "]").alias("value"))
-    rows = benchmarks.load_tool_examples(spark, one_file(store, "examples.json", whole, "n"), _tools_document(store, table(spark, sf_dir, "nation")), revision="r")
+    examples = in_order(store, "examples.json", in_brackets(c, "c_custkey", item, "[", "]"), "c_custkey")
+    rows = benchmarks.load_tool_examples(spark, examples, _tools_document(store, table(spark, sf_dir, "nation")), revision="r")
     return rows.select("ord", "id", F.array_join(F.col("available_tools.name"), "|").alias("tools"), "should_call_tool", "expected_tool_name", "expected_arguments")
 
 
@@ -99,8 +117,8 @@ def loaded_alternatives(spark, sf_dir):
         ident = text('{"id":"', F.lit(letter), "_", k, '",')
         ask = text(ident, '"question":[[{"role":"user","content":"ask ', k, '"}]],"function":[{"name":"f.g","description":"d","parameters":{"type":"dict","properties":{"k":{"type":"dict"}}}}]}')
         answer = text(ident, '"ground_truth":[{"f.g":{"k":[', k, ',"x"],"z":["",1]}}]}')
-        one_file(store, f"BFCL_v4_{category}.json", rows.select(key, ask.alias("value")), key)
-        one_file(store, f"possible_answer/BFCL_v4_{category}.json", rows.select(key, answer.alias("value")), key)
+        in_order(store, f"BFCL_v4_{category}.json", rows.select(key, ask.alias("value")), key)
+        in_order(store, f"possible_answer/BFCL_v4_{category}.json", rows.select(key, answer.alias("value")), key)
     out = benchmarks.load_alternatives(spark, store.base, revision="r", limit=total - 5)
     parameters = F.col("available_tools")[0]["parameters"]
     return out.select("ord", "id", "domain", "user_utterance", "expected_tool_name", "expected_arguments", F.get_json_object(parameters, "$.type").alias("kind"), F.get_json_object(parameters, "$.properties.k.type").alias("inner_kind"))
@@ -162,10 +180,10 @@ def _labelled_lines(customers: DataFrame) -> DataFrame:
     return customers.select("c_custkey", line.otherwise(sound).alias("value"))
 
 
-@query(f"SELECT CAST(c_custkey + 1 AS INT) AS line, rule, message FROM customer JOIN (VALUES {_BROKEN_SQL}) v(k, rule, message) ON c_custkey % {_REST} = k")
+@query(f"SELECT c_custkey + 1 AS line, rule, message FROM customer JOIN (VALUES {_BROKEN_SQL}) v(k, rule, message) ON c_custkey % {_REST} = k")
 def labelled_violations(spark, sf_dir):
     """A set in which each line breaks one rule of the final mode, or none."""
-    path = one_file(scratch(spark, "labelled"), "set.jsonl", _labelled_lines(table(spark, sf_dir, "customer")), "c_custkey")
+    path = in_order(scratch(spark, "labelled"), "set.jsonl", _labelled_lines(table(spark, sf_dir, "customer")), "c_custkey")
     return labelled.violations(spark, path, "final")
 
 
@@ -174,7 +192,7 @@ def labelled_suite(spark, sf_dir):
     """A labelled set as a suite: the shape that scoring wants."""
     rows = _labelled_lines(table(spark, sf_dir, "nation").select((F.col("n_nationkey") * _REST).alias("c_custkey"), "n_nationkey")).withColumn("value", F.regexp_replace("value", '"c[0-9]+"', '"c0"'))
     rows = rows.withColumn("value", F.regexp_replace("value", '"c0"', text('"c', F.expr(f"cast(c_custkey / {_REST} as int)"), '"')))
-    path = one_file(scratch(spark, "suite"), "set.jsonl", rows, "c_custkey")
+    path = in_order(scratch(spark, "suite"), "set.jsonl", rows, "c_custkey")
     found = suites.labelled_examples(spark, path)
     return found.select(F.col("ord").cast("int").alias("ord"), "id", "domain", F.array_join(F.col("available_tools.name"), "|").alias("tools"), "expected_arguments")
 
@@ -235,14 +253,19 @@ def result_violations(spark, sf_dir):
 # ---------------------------------------------------------------- runs
 
 
-@query("SELECT 'n' || n_nationkey AS id, CAST(n_nationkey AS INT) AS ord FROM nation WHERE n_nationkey >= 10")
+@query("""WITH c AS (SELECT 'c' || c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS ord, count(*) OVER () AS n FROM customer) SELECT id, CAST(ord AS INT) AS ord FROM c WHERE ord >= n // 2""")
 def resumed_run(spark, sf_dir):
-    """Ten saved predictions are an unchanged prefix; what is left to do."""
-    n = F.col("n_nationkey")
-    examples = table(spark, sf_dir, "nation").select(n.cast("long").alias("ord"), text("n", n).alias("id"))
-    line = text('{"example_id":"n', n, '","generated_text":"","model_id":"m","model_revision":"r","prompt_version":"p","generation_config":{"n":1},"latency_seconds":1,"gpu_memory_mb":null,"input_tokens":3}')
-    path = one_file(scratch(spark, "run"), "s.base.raw.jsonl", table(spark, sf_dir, "nation").where("n_nationkey < 10").select("n_nationkey", line.alias("value")), "n_nationkey")
-    done = runs.read_predictions(spark, path, examples, model_id="m", model_revision="r", prompt_version="p", generation={"n": 1.0})
+    """Half of the predictions are committed in three batches; a fourth was written, but its writer died before the log had it. What is left to do."""
+    customers = ordinals.with_ordinals(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    examples = customers.select("ord", text("c", F.col("c_custkey")).alias("id"))
+    half = examples.count() // 2
+    said = examples.where(F.col("ord") < half).select("ord", F.col("id").alias("example_id"), *[F.lit(v).alias(n) for n, v in (("generated_text", "a\u2028b"), ("model_id", "m"), ("model_revision", "r"), ("prompt_version", "p"), ("generation_config", '{"n":1}'))], F.lit(1.5).alias("latency_seconds"), F.lit(None).cast("double").alias("gpu_memory_mb"))
+    store = scratch(spark, "run")
+    log = CommitLog(store, "s.base.raw.jsonl")
+    for batch in range(3):
+        runs.append_predictions(said.where(F.floor(F.col("ord") * 3 / half) == batch), log, batch)
+    store.write("s.base.raw.jsonl/part-000003-lost/part-00000.txt", b"not a prediction")
+    done = runs.read_predictions(spark, store.path("s.base.raw.jsonl"), examples, model_id="m", model_revision="r", prompt_version="p", generation={"n": 1.0})
     return runs.pending(examples, done).select("id", F.col("ord").cast("int").alias("ord"))
 
 
@@ -296,13 +319,15 @@ def suite_prefixes(spark, sf_dir):
     return out
 
 
-@query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer) SELECT count(*) = 100 AS hundred_rows, true AS all_reviewed, true AS no_notes, count(*) = 100 AS ten_of_each_category, count(*) > 0 AS one_date FROM r WHERE n < 100""")
+@query("""WITH r AS (SELECT c_custkey % 10 AS category, CASE WHEN c_acctbal < -900 THEN 'draft' ELSE 'ok' END AS status, CASE WHEN c_acctbal > 9000 THEN 'see ' || c_name END AS note, c_nationkey // 25 AS day FROM customer), q AS (SELECT category, count(*) AS n FROM r GROUP BY category)
+SELECT count(*) = 100 AS hundred_rows, count(*) FILTER (status <> 'ok') = 0 AS all_reviewed, count(note) = 0 AS no_notes, (SELECT count(*) = 10 AND min(n) = 10 AND max(n) = 10 FROM q) AS ten_of_each_category, count(DISTINCT day) = 1 AS one_date FROM r""")
 def labelled_gates(spark, sf_dir):
-    """The gates before training, over the first hundred customers as a labelled set."""
-    n = F.col("c_custkey")
-    category = F.element_at(F.array(*map(F.lit, labelled.CATEGORIES)), (n % 10 + 1).cast("int"))
-    rows = table(spark, sf_dir, "customer").where("c_custkey < 100").select(category.alias("category"), F.lit("native_speaker_reviewed").alias("review_status"), F.lit(None).cast("string").alias("review_note"), F.lit("2027-03-04").alias("reference_date"))
-    return runs.training_gates(rows)
+    """The gates before training, over all customers as a labelled set."""
+    category = F.element_at(F.array(*map(F.lit, labelled.CATEGORIES)), (F.col("c_custkey") % 10 + 1).cast("int"))
+    status = F.when(F.col("c_acctbal") < -900, "draft_not_gold").otherwise("native_speaker_reviewed")
+    note = F.when(F.col("c_acctbal") > 9000, text("see ", F.col("c_name")))
+    day = F.date_format(F.date_add(F.lit("2027-03-04").cast("date"), F.floor(F.col("c_nationkey") / 25).cast("int")), "yyyy-MM-dd")
+    return runs.training_gates(table(spark, sf_dir, "customer").select(category.alias("category"), status.alias("review_status"), note.alias("review_note"), day.alias("reference_date")))
 
 
 # ---------------------------------------------------------------- the corpus

@@ -10,6 +10,7 @@ import uuid
 from contextlib import suppress
 from functools import cache
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -67,7 +68,22 @@ class Store:
 
     def write(self, name: str, content: bytes) -> None:
         """Beside it first, then renamed over it: a reader sees the old document or the new one."""
-        files, draft = self._at(f".{name}.{uuid.uuid4().hex[:8]}")
+        self._renamed(name, content, replace=True)
+
+    def publish(self, name: str, content: bytes) -> None:
+        """As ``write``, but a document that is there stays, and that is an error."""
+        if self.exists(name):
+            raise ValueError(f"{self.path(name)} is there already")
+        try:
+            self._renamed(name, content, replace=False)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in str(error):
+                raise ValueError(f"{self.path(name)} is there already") from error
+            raise
+
+    def _renamed(self, name: str, content: bytes, *, replace: bool) -> None:
+        folder, _, last = name.rpartition("/")
+        files, draft = self._at(f"{folder}/.{last}.{uuid.uuid4().hex[:8]}".lstrip("/"))
         stream = files.create(draft, True)
         try:
             stream.write(content)
@@ -75,7 +91,7 @@ class Store:
             stream.close()
         options = self._jvm.org.apache.hadoop.fs.Options.Rename
         kinds = self.spark.sparkContext._gateway.new_array(options, 1)
-        kinds[0] = options.OVERWRITE
+        kinds[0] = options.OVERWRITE if replace else options.NONE
         _, final = self._at(name)
         self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri() if final.toUri().getScheme() else files.getUri(), self._conf).rename(files.makeQualified(draft), files.makeQualified(final), kinds)
 
