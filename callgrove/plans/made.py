@@ -15,7 +15,7 @@ from ..sources import benchmarks, suites
 from ..sources.commits import CommitLog
 from ..sources.readers import document_items, jsonl, numbered_lines, table
 from ..sources.store import Store, scratch
-from .design import made_design
+from .design import table_design
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -333,26 +333,73 @@ def labelled_gates(spark, sf_dir):
 # ---------------------------------------------------------------- the corpus
 
 
-@query("SELECT d AS dialect, 880 AS train, 220 AS validation FROM (VALUES ('msa'), ('egyptian'), ('levantine'), ('gulf'), ('iraqi'), ('maghrebi'), ('none')) v(d) WHERE d <> 'none' UNION ALL SELECT 'none', 0, 0")
+#: The corpus's coordinates out of the tables: tools t, dialects d, the calls c with what they offer, the requests without a call k.
+_CORPUS = """t AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS task, lower(n_name) AS tool, count(*) OVER () AS tools FROM nation), d AS (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS d, r_name AS dialect FROM region),
+s AS (SELECT *, CASE WHEN task IN (1, 4) THEN 'validation' ELSE 'train' END AS split FROM t), p AS (SELECT split, list(task ORDER BY task) AS own FROM s GROUP BY split),
+c AS (SELECT task, tool, s.split, d, dialect, v, v % 20 AS form, list_filter(own, lambda x: x <> task) AS others FROM s JOIN p ON s.split = p.split, d, (SELECT unnest(range(100)) AS v)),
+k AS (SELECT i, d, dialect, form, CASE WHEN form >= 8 THEN 'validation' ELSE 'train' END AS split FROM (SELECT unnest(range(10)) AS i), d, (SELECT unnest(range(10)) AS form))"""
+
+
+def _corpus_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.corpus(spark, table_design(spark, sf_dir))
+
+
+@query(f"WITH {_CORPUS}, a AS (SELECT dialect, split, true AS should_call_tool FROM c UNION ALL SELECT dialect, split, false FROM k) SELECT dialect, split, should_call_tool, count(*) AS n, count(*) AS prompts FROM a GROUP BY ALL")
+def corpus_counts(spark, sf_dir):
+    """Regions as dialects, nations as tools, orders as values: rows and different prompts by dialect, split and sign."""
+    return _corpus_of(spark, sf_dir).groupBy("dialect", "split", "should_call_tool").agg(F.count("*").alias("n"), F.count_distinct("user_utterance").alias("prompts"))
+
+
+@query(f"""WITH {_CORPUS}, o AS (SELECT o_custkey % (SELECT count(*) FROM nation) AS task, o_orderkey AS nth, '"c' || o_custkey || '"' AS j0, CAST(o_orderkey % 11 AS VARCHAR) AS j1,
+'"' || CASE WHEN o_custkey % (SELECT count(*) FROM nation) % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE o_orderpriority END || '"' AS j2 FROM orders),
+e AS (SELECT task, nth, unnest(CASE WHEN task = 2 THEN [{{'slot': 0, 'j': j0 || ',"number":' || j1}}, {{'slot': 2, 'j': j2}}] ELSE [{{'slot': 0, 'j': j0}}, {{'slot': 1, 'j': j1}}, {{'slot': 2, 'j': j2}}] END) AS x FROM o),
+g AS (SELECT task, x.slot AS slot, x.j AS j, row_number() OVER (PARTITION BY task, x.slot ORDER BY min(nth)) - 1 AS i FROM e GROUP BY task, x.slot, x.j),
+z AS (SELECT task, count(*) FILTER (slot = 0) AS n0, greatest(1, count(*) FILTER (slot = 1)) AS n1, count(*) FILTER (slot = 2) AS n2 FROM g GROUP BY task),
+q AS (SELECT c.*, n0, n1, n2, (2 * v * (n0 * n1 * n2 - 1) + 99) // 198 AS pick FROM c JOIN z USING (task))
+SELECT q.tool, q.dialect, CAST(v AS INT) AS v, 'TR-' || CASE WHEN (q.task * (SELECT count(*) FROM d) + d) * 100 + v + 1 < 10000 THEN lpad(CAST((q.task * (SELECT count(*) FROM d) + d) * 100 + v + 1 AS VARCHAR), 4, '0') ELSE CAST((q.task * (SELECT count(*) FROM d) + d) * 100 + v + 1 AS VARCHAR) END AS id,
+'{{"customer":' || a.j || CASE WHEN q.task = 2 THEN '' ELSE ',"number":' || b.j END || ',"' || CASE WHEN q.task % 3 = 0 THEN 'visit_date_iso' ELSE 'priority' END || '":' || w.j || '}}' AS arguments
+FROM q JOIN g a ON a.task = q.task AND a.slot = 0 AND a.i = pick // (n1 * n2) % n0 LEFT JOIN g b ON b.task = q.task AND b.slot = 1 AND b.i = pick // n2 % n1 JOIN g w ON w.task = q.task AND w.slot = 2 AND w.i = pick % n2""")
+def corpus_arguments(spark, sf_dir):
+    """Every call's arguments: evenly spaced value combinations, decoded."""
+    rows = corpus.call_rows(spark, table_design(spark, sf_dir))
+    return rows.select(F.col("expected_tool_name").alias("tool"), "dialect", F.col("generation_coordinates.values").alias("v"), "id", F.col("expected_arguments").alias("arguments"))
+
+
+@query(f"""WITH {_CORPUS}, n AS (SELECT (SELECT count(*) FROM c) AS calls, (SELECT count(*) FROM k) AS idle, (SELECT count(*) FROM orders) > 0 AS ok) SELECT 'expected ' || calls || ' calls and ' || idle || ' no-call examples' AS gate, ok FROM n UNION ALL SELECT gate, ok FROM n, (VALUES ('expected unique synthetic prompts'), ('one language'), ('all dialects'),
+('every expected argument must appear in its user prompt'), ('expected tool must be available in its prompt'), ('every prompt must offer two distinct tools'), ('message target must match the expected call'), ('no-call rows must have a plain assistant response'), ('balanced distractors'), ('balanced tool positions'), ('prompt variation counts must match the design')) g(gate)""")
+def corpus_gates(spark, sf_dir):
+    design = table_design(spark, sf_dir)
+    return corpus.gates(corpus.corpus(spark, design), design)
+
+
+@query(f"""WITH {_CORPUS}, m AS (SELECT tool, others[(d * 100 + v) % len(others) + 1] AS other, count(*) AS n FROM c GROUP BY ALL), b AS (SELECT tool, count(*) AS competitors, max(n) - min(n) AS spread FROM m GROUP BY tool), f AS (SELECT tool, count(*) FILTER ((d + v + task) % 2 = 0) AS first FROM c GROUP BY tool)
+SELECT tool AS expected_tool_name, competitors, spread, first FROM b JOIN f USING (tool)""")
+def corpus_balance(spark, sf_dir):
+    """How often each tool meets which other, and stands first."""
+    rows = _corpus_of(spark, sf_dir)
+    return corpus.distractor_balance(rows).join(corpus.position_balance(rows), "expected_tool_name")
+
+
+@query(f"WITH {_CORPUS}, a AS (SELECT dialect, split FROM c UNION ALL SELECT dialect, split FROM k) SELECT dialect, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation FROM a GROUP BY dialect UNION ALL SELECT 'none', 0, 0")
 def corpus_dialects(spark, sf_dir):
     """Rows by dialect and split, a dialect without rows among them."""
-    design = made_design()
+    design = table_design(spark, sf_dir)
     return corpus.dialect_counts(corpus.corpus(spark, design), [*design["dialects"], "none"], pivot=True)
 
 
-@query("SELECT 300 AS orthographic_hamza_variation, 300 AS code_switching, 120 AS normalized_date_surface")
+@query(f"WITH {_CORPUS} SELECT count(*) FILTER (form = 17) AS orthographic_hamza_variation, count(*) FILTER (form = 18) AS code_switching, count(*) FILTER (form = 19 AND task % 3 = 0) AS normalized_date_surface FROM c")
 def corpus_features(spark, sf_dir):
-    return corpus.prompt_features(corpus.corpus(spark, made_design()))
+    return corpus.prompt_features(_corpus_of(spark, sf_dir))
 
 
-@query("SELECT 'function' AS kind, 2 AS tools, 2 AS messages, 6600 AS n")
+@query(f"WITH {_CORPUS} SELECT 'function' AS kind, 2 AS tools, 2 AS messages, (SELECT count(*) FROM c) + (SELECT count(*) FROM k) AS n")
 def corpus_training_format(spark, sf_dir):
-    rows = corpus.training_format(corpus.corpus(spark, made_design()))
+    rows = corpus.training_format(_corpus_of(spark, sf_dir))
     return rows.groupBy(F.col("tools")[0]["type"].alias("kind"), F.size("tools").alias("tools"), F.size("messages").alias("messages")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(6600 AS BIGINT) AS lines, CAST(6600 AS BIGINT) AS ids, CAST(1 AS BIGINT) AS first_ord, CAST(6600 AS BIGINT) AS last_ord")
+@query(f"WITH {_CORPUS}, n AS (SELECT (SELECT count(*) FROM c) + (SELECT count(*) FROM k) AS n) SELECT n AS lines, n AS ids, CAST(1 AS BIGINT) AS first_ord, n AS last_ord FROM n")
 def corpus_lines(spark, sf_dir):
     """The corpus as JSON lines, in order, with their own ids."""
-    lines = corpus.json_lines(corpus.corpus(spark, made_design()))
+    lines = corpus.json_lines(_corpus_of(spark, sf_dir))
     return lines.agg(F.count("*").alias("lines"), F.count_distinct(F.get_json_object("value", "$.id")).alias("ids"), F.min("ord").cast("long").alias("first_ord"), F.max("ord").cast("long").alias("last_ord"))

@@ -12,13 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import bare_alef, normalized_prompt
-from ..operators import audit, corpus, labelled, ordinals, records, runs, scoring, verdict
+from ..operators import audit, labelled, ordinals, records, runs, scoring, verdict
 from ..sources import benchmarks
 from ..sources.benchmarks import repaired_ids
 from ..sources.readers import table
 from ..streaming.resume import windowed_counts
 from . import made
-from .design import made_design
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -233,26 +232,11 @@ def prediction_violations(spark, sf_dir):
     return records.violations(p, records.prediction_rules(), "example_id").groupBy("message").agg(F.count("*").alias("n"))
 
 
-def corpus_counts(spark, sf_dir):
-    rows = corpus.corpus(spark, made_design())
-    return rows.groupBy("dialect", "split", "should_call_tool").agg(F.count("*").alias("n"), F.count_distinct("user_utterance").alias("prompts"))
-
-
-def corpus_gates(spark, sf_dir):
-    design = made_design()
-    return corpus.gates(corpus.corpus(spark, design), design)
-
-
-def corpus_balance(spark, sf_dir):
-    rows = corpus.corpus(spark, made_design())
-    return corpus.distractor_balance(rows).join(corpus.position_balance(rows), "expected_tool_name")
-
-
 def windowed_events(spark, sf_dir):
     return windowed_counts(table(spark, sf_dir, "events"), width="1 day")
 
 
-QUERIES: dict[str, Query] = made.QUERIES | {f.__name__: f for f in (score_counts, score_rates, scored_examples, score_by_category, argument_key_prf, paired_verdict, paired_examples, latency_summary, alternatives_accuracy, exact_prompt_overlap, normalized_prompt_overlap, normalized_prompts, target_overlap, alternatives_overlap, structural_overlap, duplicate_id_repair, ordered_lookup, prefix_limit, even_sample, category_quota, first_violation, bare_text, prediction_violations, corpus_counts, corpus_gates, corpus_balance, windowed_events)}
+QUERIES: dict[str, Query] = made.QUERIES | {f.__name__: f for f in (score_counts, score_rates, scored_examples, score_by_category, argument_key_prf, paired_verdict, paired_examples, latency_summary, alternatives_accuracy, exact_prompt_overlap, normalized_prompt_overlap, normalized_prompts, target_overlap, alternatives_overlap, structural_overlap, duplicate_id_repair, ordered_lookup, prefix_limit, even_sample, category_quota, first_violation, bare_text, prediction_violations, windowed_events)}
 
 _N1 = r"trim(regexp_replace(regexp_replace(replace(lower(nfc_normalize({0})), 'ß', 'ss'), '[\p{{M}}\p{{P}}\p{{S}}]', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
 _BOTH = f"WITH {_flags().strip()}, {_flags('(event_id * 3 + 1) % 8').strip().replace('f AS', 'g AS', 1)}"
@@ -290,10 +274,5 @@ SELECT conv_id, min(turn) AS turn, arg_min(message, turn) AS message FROM v WHER
     "bare_text": "SELECT doc_id, sha256(translate('أإآ ' || text, 'أإآ', 'ااا')) AS bare_sha256 FROM documents",
     "prediction_violations": """SELECT message, count(*) AS n FROM (SELECT 'model_id must be a non-empty string' AS message FROM events WHERE event_id % 7 = 0
 UNION ALL SELECT 'prompt_version must be a non-empty string' FROM events WHERE event_id % 11 = 0 UNION ALL SELECT 'latency_seconds must be a finite non-negative number' FROM events WHERE event_id % 13 = 0) GROUP BY message""",
-    "corpus_counts": "SELECT d AS dialect, s AS split, p AS should_call_tool, n, n AS prompts FROM (VALUES ('msa'), ('egyptian'), ('levantine'), ('gulf'), ('iraqi'), ('maghrebi')) a(d), (VALUES ('train', true, 800), ('validation', true, 200), ('train', false, 80), ('validation', false, 20)) b(s, p, n)",
-    "corpus_gates": """SELECT gate, true AS ok FROM (VALUES ('expected 6000 calls and 600 no-call examples'), ('expected unique synthetic prompts'), ('one language'), ('all dialects'),
-('every expected argument must appear in its user prompt'), ('expected tool must be available in its prompt'), ('every prompt must offer two distinct tools'),
-('message target must match the expected call'), ('no-call rows must have a plain assistant response'), ('balanced distractors'), ('balanced tool positions'), ('prompt variation counts must match the design')) g(gate)""",
-    "corpus_balance": "SELECT printf('look_up_%02d', i) AS expected_tool_name, CASE WHEN i IN (1, 4) THEN 1 ELSE 7 END AS competitors, CASE WHEN i IN (1, 4) THEN 0 ELSE 1 END AS spread, 300 AS first FROM range(10) t(i)",
     "windowed_events": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
