@@ -29,7 +29,7 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -264,10 +264,12 @@ def labelled_samples(docs: DataFrame, learn: Column, *, sample_chars: int, text:
             share = F.when(F.col(lang) == name, int(min(1.0, more * sample_chars / total) * (1 << 30))).otherwise(share)
             size = F.when(F.col(lang) == name, cap).otherwise(size)
         start = F.pmod(F.xxhash64(spot), F.greatest(length - size, F.lit(0)) + 1).cast("int") + 1
-        got = known.where(spot <= share).select(F.col(lang).alias("lang"), F.col(text).substr(start, size).alias("text"), spot.alias("spot"), F.col(doc_id).alias("id")).collect()
+        drawn = known.where(spot <= share).select(F.col(lang).alias("lang"), F.col(text).substr(start, size).alias("text"), spot.alias("spot"), F.col(doc_id).alias("id"))
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy("spot", "id", "text"))
+        got = drawn.withColumn("nth", nth).where(F.col("nth") <= sample_chars).collect()  # each has a character at least, so that no more are used; rows that repeat an id share their spot
         used = dict.fromkeys(short, 0)
         out |= {name: [] for name in short}
-        for r in sorted(got, key=lambda r: (r.spot, r.id)):
+        for r in sorted(got, key=lambda r: (r.spot, r.id, r.text)):
             if used[r.lang] < sample_chars:
                 out[r.lang].append(r.text[: sample_chars - used[r.lang]])
                 used[r.lang] += len(r.text)

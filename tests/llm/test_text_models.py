@@ -553,3 +553,15 @@ def test_sampling_rows(spark, voc):
         if r.row_key not in (None, 904, 905):
             assert r.decoded == (text[r.row_key] or "") == voc.processor.decode(r.ids)
     assert sentencepiece_sampling.sample_segmentations(docs(spark, rows).limit(0), model=model).count() == 0
+
+
+def test_rows_that_repeat_an_id_do_not_all_reach_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    rows = [(7, f"text {i % 50}", "xx") for i in range(2000)] + [(i, "other words", "yy") for i in range(5)]
+    sizes = []
+    monkeypatch.setattr(Frame, "collect", lambda self, real=Frame.collect: sizes.append(len(found := real(self))) or found)
+    samples = language_id.labelled_samples(docs(spark, rows), F.lit(True), sample_chars=30, text="text", lang="lang", doc_id="doc_id")
+    assert sum(map(len, samples["xx"])) == 30 and max(sizes) <= 60
+    again = language_id.labelled_samples(docs(spark, rows).repartition(2), F.lit(True), sample_chars=30, text="text", lang="lang", doc_id="doc_id")
+    assert again == samples
