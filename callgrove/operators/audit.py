@@ -42,20 +42,43 @@ def target_overlap(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     return keyed.join(calls, (keyed["expected_tool_name"] == calls["tool"]) & (keyed["audit_args"] == calls["args"]), "left_semi").drop("audit_args")
 
 
-def alternatives_overlap(train: DataFrame, evaluation: DataFrame, answers: DataFrame) -> DataFrame:
+def _call_arguments(calls: DataFrame) -> DataFrame:
+    """(tool, call, key, value): a row for each argument of a call; one without arguments has the pair of empty texts, which no argument has."""
+    each = F.transform(F.map_entries(loose_members(F.col("args"))), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    return calls.select("tool", F.col("args").alias("call"), F.explode(F.concat(each, F.array(F.struct(F.lit("").alias("key"), F.lit("").alias("value"))))).alias("e")).select("tool", "call", "e.*")
+
+
+def probe_pairs(calls: DataFrame, wanted: DataFrame, *, block: int = 2000) -> DataFrame:
+    """(id, tool, call) of calls and answers worth a full test: an inverted index over the answers, asked with each call's rarest argument.
+
+    calls: tool, args (canonical text), distinct. wanted: id, tool, choices (map of loose forms). An answer that permits a call lists every argument of it, so one argument
+    is enough to find it; taken is the one that the fewest answers list (on equal numbers the first by name and value), and a call with an argument that none lists is out. An
+    argument that more than ``block`` answers list is cut into salted parts of about that size, to each of which its calls go.
+    """
+    listed = F.flatten(F.transform(F.map_entries("choices"), lambda e: F.transform(F.array_distinct(e["value"]), lambda v: F.struct(e["key"].alias("key"), v.alias("value")))))
+    none = F.array(F.struct(F.lit("").alias("key"), F.lit("").alias("value")))
+    index = wanted.select("id", "tool", F.explode(F.concat(listed, none)).alias("e")).select("id", "tool", "e.*")
+    sizes = index.groupBy("tool", "key", "value").agg(F.count("*").alias("n"))
+    met = _call_arguments(calls).join(sizes, ["tool", "key", "value"], "left")
+    # every call has the empty pair, which all its tool's answers list: it serves only where there is no other
+    best = F.min(F.when(F.col("key") != "", F.struct("n", "key", "value")).when(F.col("value") != "", F.struct("n", "key", "value")))
+    chosen = met.groupBy("tool", "call").agg(best.alias("best"), F.count_if(F.col("n").isNull()).alias("unlisted"), F.max(F.when((F.col("key") == "") & (F.col("value") == ""), F.col("n"))).alias("all")).where("unlisted = 0")
+    probes = chosen.select("tool", "call", F.coalesce("best", F.struct(F.col("all").alias("n"), F.lit("").alias("key"), F.lit("").alias("value"))).alias("p")).select("tool", "call", "p.*")
+    parts = F.floor((F.col("n") - 1) / block) + 1
+    probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n")
+    salted = index.join(sizes, ["tool", "key", "value"]).withColumn("part", F.pmod(F.xxhash64("id"), parts)).drop("n")
+    return salted.join(probes, ["tool", "key", "value", "part"]).select("id", "tool", "call")
+
+
+def alternatives_overlap(train: DataFrame, evaluation: DataFrame, answers: DataFrame, *, block: int = 2000) -> DataFrame:
     """Evaluation rows for which some training call is a permitted answer.
 
-    answers: id, tool, n_calls, choices (JSON object: argument to its list of alternatives). A permitted call's first argument, by name, has one of the
-    alternatives that the answer lists for it; so calls meet answers in an equi-join on tool, that argument and its value (no argument: a key of its
-    own), and only what meets there is tested in full.
+    answers: id, tool, n_calls, choices (JSON object: argument to its list of alternatives). Calls find answers by their rarest argument (``probe_pairs``), and what they
+    find is tested in full.
     """
-    first = F.array_min(F.map_keys("args"))
-    calls = expected_calls(train).select("tool", loose_members(F.col("args")).alias("args")).withColumn("key", F.coalesce(first, F.lit(""))).withColumn("value", F.coalesce(F.try_element_at("args", first), F.lit("")))
     wanted = evaluation.where("expected_tool_name IS NOT NULL AND expected_tool_name <> ''").select("id", F.col("expected_tool_name").alias("tool"))
     wanted = wanted.join(answers.where("n_calls = 1").select("id", "tool", alternatives(F.col("choices")).alias("choices")), ["id", "tool"]).where("choices IS NOT NULL")
-    listed = F.flatten(F.transform(F.map_entries("choices"), lambda e: F.transform(F.array_distinct(e["value"]), lambda v: F.struct(e["key"].alias("key"), v.alias("value")))))
-    none = F.array(F.struct(F.lit("").alias("key"), F.lit("").alias("value")))
-    pairs = wanted.select("id", "tool", "choices", F.explode(F.concat(listed, none)).alias("e")).select("id", "tool", "choices", "e.*").join(calls, ["tool", "key", "value"])
+    pairs = probe_pairs(expected_calls(train), wanted, block=block).join(wanted, ["id", "tool"]).withColumn("args", loose_members(F.col("call")))
     known = F.forall(F.map_entries("args"), lambda e: F.coalesce(F.array_contains(F.try_element_at("choices", e["key"]), e["value"]), F.lit(False)))
     optional = F.forall(F.map_entries("choices"), lambda e: F.map_contains_key("args", e["key"]) | F.array_contains(e["value"], '""'))
     return evaluation.join(pairs.where(known & optional).select("id").distinct(), "id", "left_semi")

@@ -4,8 +4,11 @@ import itertools
 import json
 import random
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from callgrove.functions.jsonx import alternatives, loose
 from callgrove.functions.text import normalize_prompt, normalized_prompt
 from callgrove.operators import audit as A
 
@@ -86,3 +89,49 @@ def test_alternatives_against_all_pairs(spark):
     fits = lambda args, choices: all(k in choices and v in choices[k] for k, v in args.items()) and all(k in args or "" in v for k, v in choices.items())
     want = {i for (i, t, c), (_, u, a) in itertools.product(wanted, calls) if t == u and fits(a, c)}
     assert {r.id for r in A.alternatives_overlap(train, held, answers).collect()} == want and want
+
+
+@st.composite
+def _calls_and_answers(draw):
+    values = st.sampled_from([0, 1, 1.0, True, "a", "", None, [1], {"x": 1.0}])
+    names = st.sampled_from(["a", "b", "c", ""])
+    tools = st.sampled_from(["f", "g"])
+    calls = draw(st.lists(st.tuples(tools, st.dictionaries(names, values, max_size=3)), max_size=12))
+    answers = draw(st.lists(st.tuples(tools, st.dictionaries(names, st.lists(values, min_size=1, max_size=3), max_size=3)), max_size=12))
+    return calls, answers, draw(st.integers(1, 3))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(case=_calls_and_answers())
+def test_rarest_argument_against_all_pairs(spark, case):
+    """Whatever the salted parts' size; no arguments, empty names, nulls and nested values too."""
+    calls, wanted, block = case
+    same = lambda a, b: loose(a) == loose(b)
+    fits = lambda args, choices: all(k in choices and any(same(v, x) for x in choices[k]) for k, v in args.items()) and all(k in args or "" in v for k, v in choices.items())
+    ddl = "id string, should_call_tool boolean, expected_tool_name string, expected_arguments string"
+    train = spark.createDataFrame([(f"t{i}", True, t, json.dumps(a)) for i, (t, a) in enumerate(calls)], ddl)
+    held = spark.createDataFrame([(f"e{i}", True, t, "{}") for i, (t, _) in enumerate(wanted)], ddl)
+    answers = spark.createDataFrame([(f"e{i}", t, 1, json.dumps(c)) for i, (t, c) in enumerate(wanted)], "id string, tool string, n_calls int, choices string")
+    want = {f"e{i}" for i, (t, c) in enumerate(wanted) if any(t == u and fits(a, c) for u, a in calls)}
+    assert {r.id for r in A.alternatives_overlap(train, held, answers, block=block).collect()} == want
+
+
+def test_a_constant_argument_does_not_meet_everything(spark):
+    """The first argument by name is the same in all calls and answers: pairs stay linear, whichever name the telling argument has."""
+    n = 3000
+    i = F.col("id").cast("string")
+    calls = spark.range(n).select(F.lit("t").alias("tool"), F.concat(F.lit('{"a":1,"b":'), i, F.lit(',"c":"x"}')).alias("args"))
+    held = spark.range(n).select(i.alias("id"), F.lit("t").alias("expected_tool_name"))
+    choices = F.concat(F.lit('{"a":[1],"b":['), i, F.lit(","), (F.col("id") + 1).cast("string"), F.lit('],"c":["x"]}'))
+    answers = spark.range(n).select(i.alias("id"), F.lit("t").alias("tool"), F.lit(1).alias("n_calls"), choices.alias("choices"))
+    wanted = answers.select("id", "tool", alternatives(F.col("choices")).alias("choices"))
+    assert A.probe_pairs(calls, wanted).count() == 2 * n - 1
+    train = calls.select(F.lit(True).alias("should_call_tool"), F.col("tool").alias("expected_tool_name"), F.col("args").alias("expected_arguments"))
+    assert A.alternatives_overlap(train, held, answers).count() == n
+
+
+def test_hot_arguments_are_cut(spark):
+    """One value that all answers list: its parts are all asked, and none holds them all."""
+    wanted = spark.range(500).select(F.col("id").cast("string").alias("id"), F.lit("t").alias("tool"), F.create_map(F.lit("a"), F.array(F.lit("1"))).alias("choices"))
+    calls = spark.createDataFrame([("t", '{"a":1}'), ("t", '{"a":1.0}'), ("t", '{"a":1,"z":2}')], "tool string, args string")
+    assert A.probe_pairs(calls, wanted, block=50).count() == A.probe_pairs(calls, wanted).count() == 1000
