@@ -5,11 +5,11 @@ that occurs in that text. A document is parsed into phrases: each is the longest
 last one ended. The fewer phrases, the nearer the language. Phrase counts are normalised by the sample's size (a phrase costs
 log2 of it in bits) and the document's length; the language with the least wins, on equal values the first in order.
 
-The whole text is parsed as one. To let much of it advance side by side, one table lookup a character and language, it is dealt
+The whole text is parsed as one. To let much of it advance side by side, two array lookups a character and language, it is dealt
 into runs of ``RUN`` characters, each a head of ``HEAD`` and the rest: at first each run starts a phrase; a piece that the one before
 leaves in another state than it began with is parsed again from there, until all agree. Two parses fall together at the first phrase
-that both begin at one place, so that heads need a second look and few pieces more; what doesn't agree after ``ROUNDS`` looks is parsed from there to its end in one go. The tables have at most
-``2 * sample_chars`` states a language; a sample holds excerpts of the documents with the least hash of their id up to ``sample_chars``
+that both begin at one place, so that heads need a second look and few pieces more; what doesn't agree after ``ROUNDS`` looks is parsed from there to its end in one go. An automaton has at most
+``2 * sample_chars`` states and ``3 * sample_chars`` edges, and is kept by its edges, so that its size doesn't follow the alphabet's; with all languages over ``max_bytes`` it is an error. A sample holds excerpts of the documents with the least hash of their id up to ``sample_chars``
 characters (its bound is this parameter and doesn't depend on the corpus). An excerpt has at most a hundredth of the sample, more only
 where a language has too few documents to fill it so, and starts at a place told by the hash. Every language with labelled text has a sample.
 
@@ -39,46 +39,77 @@ from .common import runs as run_index
 #: Characters that advance as one run, those of its head, and how often pieces are looked at again before the rest of a text is parsed in one go.
 RUN, HEAD, ROUNDS = 512, 64, 32
 SAMPLE_CHARS = 40_000
-
-
-class SuffixAutomaton:
-    """The minimal automaton of all substrings of a sequence of small numbers, as a table of next states (0: none; 1: the root)."""
-
-    def __init__(self, codes: np.ndarray, symbols: int):
-        most = 2 * len(codes) + 2
-        table = np.zeros((most, symbols), np.int32)
-        nexts: list[dict[int, int]] = [{}, {}]
-        link, length = [0, 0], [0, 0]
-        last = 1
-        for c in codes.tolist():
-            now = len(nexts)
-            nexts.append({})
-            length.append(length[last] + 1)
-            link.append(0)
-            p = last
-            while p and c not in nexts[p]:
-                nexts[p][c] = now
-                p = link[p]
-            if not p:
-                link[now] = 1
+#: Of the broadcast automata, of all languages together; more is an error.
+MAX_BYTES = 512 << 20
+
+
+def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
+    """The minimal automaton of all substrings of a sequence of small numbers: the edges of each state (0 is none; 1 the root)."""
+    nexts: list[dict[int, int]] = [{}, {}]
+    link, length = [0, 0], [0, 0]
+    last = 1
+    for c in codes.tolist():
+        now = len(nexts)
+        nexts.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        p = last
+        while p and c not in nexts[p]:
+            nexts[p][c] = now
+            p = link[p]
+        if not p:
+            link[now] = 1
+        else:
+            q = nexts[p][c]
+            if length[p] + 1 == length[q]:
+                link[now] = q
             else:
-                q = nexts[p][c]
-                if length[p] + 1 == length[q]:
-                    link[now] = q
-                else:
-                    clone = len(nexts)
-                    nexts.append(dict(nexts[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    while p and nexts[p].get(c) == q:
-                        nexts[p][c] = clone
-                        p = link[p]
-                    link[q] = link[now] = clone
-            last = now
-        for state, edges in enumerate(nexts):
-            if edges:
-                table[state, list(edges)] = list(edges.values())
-        self.table = table[: len(nexts)].copy()
+                clone = len(nexts)
+                nexts.append(dict(nexts[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p and nexts[p].get(c) == q:
+                    nexts[p][c] = clone
+                    p = link[p]
+                link[q] = link[now] = clone
+        last = now
+    return nexts
+
+
+class Edges:
+    """An automaton in two arrays whose size follows its edges, however many symbols there are.
+
+    A state is a number of its own, its base; its edge by symbol c stands at base + c, where ``owner`` has the base and ``target`` the next state's. States with several edges
+    are fitted, widest first, into the first gaps that take them; those with one edge stand behind, side by side: in falling order of their symbols all their bases differ.
+    """
+
+    def __init__(self, nexts: list[dict[int, int]], symbols: int):
+        base = np.zeros(len(nexts), np.int64)
+        taken, bases = 0, 1  # as bits: the places that have an edge, and the numbers that are a state's (0 is none's)
+        for state in sorted((s for s, edges in enumerate(nexts) if len(edges) > 1), key=lambda s: -len(nexts[s])):
+            clash, mine = bases, 0
+            for c in nexts[state]:
+                clash |= taken >> c
+                mine |= 1 << c
+            free = (~clash & (clash + 1)).bit_length() - 1
+            base[state] = free
+            taken |= mine << free
+            bases |= 1 << free
+        end = max(taken.bit_length(), bases.bit_length()) + symbols
+        single = np.array([s for s, edges in enumerate(nexts) if len(edges) == 1], np.int64)
+        by = np.array([next(iter(nexts[s])) for s in single.tolist()], np.int64)
+        order = np.argsort(-by, kind="stable")
+        base[single[order]] = end + np.arange(len(single)) - by[order]
+        last = np.array([s for s, edges in enumerate(nexts) if s and not edges], np.int64)
+        base[last] = end + len(single) + np.arange(len(last))
+        size = int(base.max()) + symbols
+        self.owner, self.target, self.root = np.zeros(size, np.int32), np.zeros(size, np.int32), int(base[1])
+        source = np.repeat(np.arange(len(nexts)), [len(edges) for edges in nexts])
+        symbol = np.array([c for edges in nexts for c in edges], np.int64)
+        to = np.array([t for edges in nexts for t in edges.values()], np.int64)
+        if len(source):
+            self.owner[base[source] + symbol] = base[source]
+            self.target[base[source] + symbol] = base[to]
 
 
 def _lower(c: int) -> int:
@@ -123,25 +154,33 @@ def code_points(text: str) -> np.ndarray:
 class Model:
     """Automata of several languages over one alphabet: code 0 is the separator, the last one what no sample has."""
 
-    def __init__(self, samples: dict[str, list[str]]):
+    def __init__(self, samples: dict[str, list[str]], max_bytes: int = MAX_BYTES):
         self.langs = sorted(samples)
         texts = {lang: letters(code_points("\n".join(samples[lang]))) for lang in self.langs}
         known = np.unique(np.concatenate([np.zeros(1, np.int64), *texts.values()]))
         self.known, self.symbols = known, len(known) + 1
-        tables, sizes, at = [], [], 0
+        owners, targets, sizes, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [], 0
         self.roots = []
         for lang in self.langs:
             codes = np.searchsorted(known, texts[lang])
             if len(codes):
                 codes = codes[np.r_[True, (codes[1:] != 0) | (codes[:-1] != 0)]]  # separators once
-            table = SuffixAutomaton(codes, self.symbols).table
-            tables.append(np.where(table > 0, table + at, 0))
-            self.roots.append(1 + at)
+            edges = Edges(suffix_automaton(codes), self.symbols)
+            owners.append(np.where(edges.owner > 0, edges.owner + np.int32(at), 0))
+            targets.append(np.where(edges.target > 0, edges.target + np.int32(at), 0))
+            self.roots.append(edges.root + at)
             sizes.append(max(2, len(codes)))
-            at += len(table)
-        self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros((1, self.symbols), np.int32)
+            at += len(edges.owner)
+            if 8 * at > max_bytes:
+                raise ValueError(f"the languages' automata take over {max_bytes} bytes at {lang}, number {len(sizes)} of {len(self.langs)}: take a smaller sample_chars or allow more")
+        self.owner, self.target = np.concatenate(owners).astype(np.int32), np.concatenate(targets).astype(np.int32)
         self.bits = np.log2(np.array(sizes, float)) if sizes else np.zeros(0)
 
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The states after a symbol, 0 where there is no such edge."""
+        at = state + codes
+        return self.target.take(at, mode="clip") * (self.owner.take(at, mode="clip") == state)  # all are in range, and clipping is the quicker way
+
     def codes(self, points: np.ndarray) -> np.ndarray:
         low = letters(points)
         at = np.searchsorted(self.known, low)
@@ -188,23 +227,22 @@ class Model:
         order = np.argsort(starts - ends, kind="stable")  # longest first, so that runs still open are a head
         starts, ends = starts[order], ends[order]
         sizes = ends - starts
-        n, flat = len(starts), self.table.reshape(-1)
-        roots = np.array(self.roots, np.int32)[:, None]
-        state = entry[order].T.copy()
+        n = len(starts)
+        roots = np.array(self.roots, np.int64)
+        state = entry[order].T.astype(np.int64)  # as indexes
         count = np.zeros((len(roots), n), np.int32)
         open_ = np.searchsorted(-sizes, -np.arange(1, int(sizes.max(initial=0)) + 1), "right")
         for step, k in enumerate(open_.tolist()):
             c = codes[starts[:k] + step]
-            s = flat[state[:, :k].astype(np.int64) * self.symbols + c]
-            miss = s == 0
-            if miss.any():
-                again = flat[roots.astype(np.int64) * self.symbols + c]
-                at_root = state[:, :k] == roots
-                count[:, :k] += miss & ~at_root  # a symbol unknown at the root ends its phrase where it stands
-                s = np.where(miss, again, s)
-                lost = s == 0
-                count[:, :k] += lost & miss
-                s = np.where(lost, roots, s)
+            s = self.step(state[:, :k], c)
+            miss = np.flatnonzero(s == 0)
+            if len(miss):
+                lang, run = miss // k, miss % k
+                root = roots[lang]
+                again = self.step(root, c[run])
+                lost = again == 0
+                count[lang, run] += (state[lang, run] != root).astype(np.int32) + lost  # a symbol unknown at the root ends its phrase where it stands
+                s.reshape(-1)[miss] = np.where(lost, root, again)
             state[:, :k] = s
         out, after = np.empty((n, len(roots)), np.int64), np.empty((n, len(roots)), np.int32)
         out[order], after[order] = count.T, state.T
@@ -278,11 +316,11 @@ def labelled_samples(docs: DataFrame, learn: Column, *, sample_chars: int, text:
     return {name: texts for name, texts in out.items() if texts}
 
 
-def language_id(docs: DataFrame, learn: Column, *, sample_chars: int = SAMPLE_CHARS, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+def language_id(docs: DataFrame, learn: Column, *, sample_chars: int = SAMPLE_CHARS, max_bytes: int = MAX_BYTES, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with lang_pred and lang_score, learnt from the rows where ``learn`` holds."""
     spark = docs.sparkSession
     docs = docs.drop("lang_pred", "lang_score")
-    model = Model(labelled_samples(docs, learn, sample_chars=sample_chars, text=text, lang=lang, doc_id=doc_id))
+    model = Model(labelled_samples(docs, learn, sample_chars=sample_chars, text=text, lang=lang, doc_id=doc_id), max_bytes)
     shared = spark.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     text_batches(spark)

@@ -358,6 +358,41 @@ def test_long_texts_are_parsed_as_one():
     assert model.phrases(np.zeros(0, np.int32), np.zeros(3, np.int64)).tolist() == [[0, 0]] * 2
 
 
+def test_automata_are_bounded_by_their_edges():
+    """A language with thousands of letters: small arrays, and the phrases are still the longest matches, for it and for its neighbours."""
+    rng = np.random.default_rng(4)
+    wide = "".join(chr(0x4E00 + c) for c in np.minimum(rng.zipf(1.1, 40_000), 20_000).tolist())
+    narrow = "".join(rng.choice(list("abcde "), 40_000))
+    model = language_id.Model({"wide": [wide], "narrow": [narrow]})
+    assert model.symbols > 4_000 and model.owner.nbytes + model.target.nbytes < 4 << 20
+    texts = [wide[100:400] + wide[90:120], "abcab" + wide[5:25] + "𝐀" + narrow[7:99], ""]
+    texts = [" ".join(t.split()) for t in texts]
+    codes = model.codes(language_id.code_points("".join(texts)))
+    got = model.phrases(codes, np.cumsum([0, *map(len, texts)]))
+    for lang, sample in (("wide", wide), ("narrow", narrow)):
+        assert got[:, model.langs.index(lang)].tolist() == [longest_matches(t, " ".join(sample.split())) for t in texts]
+    with pytest.raises(ValueError, match="sample_chars"):
+        language_id.Model({"wide": [wide], "narrow": [narrow]}, max_bytes=1 << 20)
+
+
+@pytest.mark.parametrize("symbols", [2, 3, 40])
+def test_edges_are_those_of_the_automaton(symbols):
+    rng = np.random.default_rng(symbols)
+    nexts = language_id.suffix_automaton(rng.integers(0, symbols, 600))
+    packed = language_id.Edges(nexts, symbols)
+    state = {1: packed.root}  # of the automaton, found from the root on
+    for s in (walk := [1]):
+        for c in range(symbols):
+            at = state[s] + c
+            to = int(packed.target[at]) if packed.owner[at] == state[s] else 0
+            assert (to > 0) == (c in nexts[s])
+            if to and nexts[s][c] not in state:
+                state[nexts[s][c]] = to
+                walk.append(nexts[s][c])
+            assert not to or state[nexts[s][c]] == to
+    assert len(set(state.values())) == len(state) == len(nexts) - 1
+
+
 def test_language(spark):
     rng = random.Random(6)
     banks = {"en": ["the", "river", "walks", "slowly"], "de": ["und", "fließt", "langsam", "weiter"], "fr": ["la", "rivière", "coule", "été"]}
