@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonx import response
 from ..functions.text import token_lengths
-from ..operators import corpus, labelled, ordinals, records, runs
+from ..operators import corpus, labelled, metrics, ordinals, records, runs
 from ..sources import benchmarks, suites
 from ..sources.commits import CommitLog
-from ..sources.readers import document_items, jsonl, numbered_lines, table
+from ..sources.readers import digests, document_items, jsonl, numbered_lines, table
 from ..sources.store import Store, scratch
 from .design import table_design
 
@@ -282,6 +282,39 @@ def metric_results(spark, sf_dir):
     return pairs.select("ord", "prediction_id", called.alias("called")).join(answers.select(F.col("source_row_index").alias("ord"), (F.get_json_object("result", "$.ok") == "true").alias("ok")), "ord")
 
 
+@query("""WITH e AS (SELECT event_id % 3 = 0 AS ok, event_id % 7 AS n FROM events WHERE event_id < (SELECT count(*) FROM events) - 7) SELECT count(*) AS answers, round(avg(CAST(ok AS INT)), 9) AS accuracy, count(*) FILTER (ok) AS measured, round(avg(n / 8) FILTER (ok), 9) AS size FROM e""")
+def metric_summary(spark, sf_dir):
+    """A metric over the answers of every row, merged from tasks' states: the share that is right, and the mean of a member that only right answers have."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id") % 3
+    source = e.select(F.col("event_id").alias("ord"), F.to_json(F.struct(F.col("event_type").alias("want"), (F.col("event_id") % 7).alias("n"))).alias("row"))
+    scored = e.where(F.col("event_id") < e.count() - 7).select(F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("id"), F.when(k == 0, F.col("event_type")).otherwise(F.lit("none")).alias("tool_name"), F.lit("{}").alias("arguments"), F.when(k == 2, F.lit("bad")).alias("parse_error"))
+
+    def answer(row: dict, said: dict) -> dict:
+        ok = row["want"] == said["function_called"]
+        return {"ok": ok, "note": "text"} | ({"size": row["n"] / 8} if ok else {})
+
+    found = metrics.aggregated(runs.official_results(runs.metric_inputs(source, scored), answer), metrics.member_means())
+    of = lambda path, kind: F.get_json_object("result", f"$.{path}").cast(kind)
+    return found.select(of("ok.n", "long").alias("answers"), F.round(of("ok.mean", "double"), 9).alias("accuracy"), of("size.n", "long").alias("measured"), F.round(of("size.mean", "double"), 9).alias("size"))
+
+
+@query("""WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, sha256(string_agg(o_orderkey || ' ' || o_orderpriority || chr(10), '' ORDER BY o_orderkey)) AS actual FROM orders GROUP BY 1)
+SELECT 'month=' || month AS path, source, actual FROM o, (VALUES ('run'), ('audit')) s(source) WHERE source = 'audit' AND CAST(right(month, 2) AS INT) % 3 = 0 UNION ALL SELECT 'month=none', 'run', NULL""")
+def digest_differences(spark, sf_dir):
+    """Orders written as a file for each month, and what two lists of digests say of them: one is wrong about every third month, one names a month without a file."""
+    orders = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", text(F.col("o_orderkey"), " ", F.col("o_orderpriority")).alias("value"))
+    store = scratch(spark, "months")
+    orders.repartition("month").sortWithinPartitions("month", "o_orderkey").select("month", "value").write.partitionBy("month").text(store.path("orders"))
+    path = F.regexp_extract("path", "(month=[^/]+)/", 1)
+    actual = digests(spark, store.path("orders"), pattern="*.txt", recursive=True).select(path.alias("path"), "sha256")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "value"))), lambda x: F.concat(x["value"], F.lit("\n")))
+    right = orders.groupBy("month").agg(F.sha2(F.array_join(lines, ""), 256).alias("sha256")).select(text("month=", F.col("month")).alias("path"), "sha256")
+    off = F.substring("path", -2, 2).cast("int") % 3 == 0
+    missing = table(spark, sf_dir, "orders").limit(1).select(F.lit("month=none").alias("path"), F.lit("run").alias("source"), F.lit("0").alias("sha256"))
+    expected = right.select("path", F.lit("run").alias("source"), "sha256").union(right.select("path", F.lit("audit"), F.when(off, F.lit("0")).otherwise(F.col("sha256")))).union(missing)
+    return runs.digest_differences(actual, expected).select("path", "source", "actual")
+
+
 @query("""SELECT event_id, sha256('p' || event_id) AS prompt_sha256, CAST(event_id % 4 + 1 AS INT) AS output_tokens, event_id % 4 = 3 AND event_id % 5 <> 0 AS hit_token_limit FROM events""")
 def prediction_enrichment(spark, sf_dir):
     n = F.col("event_id")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import hashlib
 import json
 import tempfile
 import uuid
@@ -108,7 +107,20 @@ class Store:
         self.write(name, (json.dumps(value, ensure_ascii=False, indent=2) + "\n").encode())
 
     def sha256(self, name: str) -> str:
-        return hashlib.sha256(self.read(name)).hexdigest()
+        """Read in blocks by the JVM, so that a file of any size has its digest made without being held."""
+        files, where = self._at(name)
+        stream = files.open(where)
+        try:
+            return self._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
+
+    def size(self, name: str) -> tuple[str, int] | None:
+        """A file's whole path and its bytes; None if there is no such file."""
+        files, where = self._at(name)
+        if not files.exists(where) or (status := files.getFileStatus(where)).isDirectory():
+            return None
+        return status.getPath().toString(), status.getLen()
 
     def pin(self, name: str, value: object) -> None:
         """Keeps a document that must not change: written if it isn't there, else compared."""

@@ -174,6 +174,24 @@ def suite(spark, domains, choices=None):
     return spark.createDataFrame([(f"{d}{i}", True, "f", '{"a":1}', d, i, choices, "{}") for i, d in enumerate(domains)], ddl)
 
 
+def test_digests_are_made_in_executors_or_streamed(spark, tmp_path, monkeypatch):
+    """The same digests for small and large files, names with spaces and folders too; missing files differ, the first path in order is the error."""
+    content = {"a.bin": b"", "b c.bin": bytes(range(256)) * 40, "sub/d é.txt": "é\n".encode(), "z.bin": b"z" * 70_000, "_h.txt": b"h", "x{1}.txt": b"x", "sub/.k": b"k"}
+    for name, data in content.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    store, want = Store(spark, str(tmp_path)), {n: hashlib.sha256(d).hexdigest() for n, d in content.items()}
+    for limit in (0, 20_000, 1 << 20):
+        assert {r.path: r.sha256 for r in R.named_digests(store, [*want, "none", "sub"], whole_bytes=limit).collect()} == want
+    assert R.named_digests(store, []).count() == 0
+    monkeypatch.setattr(Store, "read", lambda *_: pytest.fail("a file came to the driver"))
+    runs.require_digests(store, want, want)
+    runs.require_digests(store)
+    for maps, first in (((want | {"z.bin": "0"}, want | {"b c.bin": "0"}), "b c.bin"), ((want | {"none": "0"},), "none"), ((want, {"a.bin": None}), "a.bin")):
+        with pytest.raises(ValueError, match=f"hash mismatch: {first}"):
+            runs.require_digests(store, *maps)
+
+
 def test_load_inputs_stops_at_the_first_difference(spark, tmp_path):
     dump(tmp_path / "data/train.jsonl", [1], True)
     dump(tmp_path / "bench/f.json", 2)
