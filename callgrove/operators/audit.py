@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonx import alternatives, canonical_form, loose_members
 from ..functions.text import normalized_prompt
+from ..sources.store import Store
 
 
 def tool_parts(rows: DataFrame) -> DataFrame:
@@ -125,13 +124,13 @@ def audit(train: DataFrame, groups: dict[str, tuple[DataFrame, DataFrame | None]
 
 
 def report(rows: DataFrame, path: str, **facts: object) -> dict:
-    """Writes an audit's rows (one per group) as a JSON document with a status, beside facts such as digests and revisions. Its folder must exist."""
+    """Writes an audit's rows (one per group) as a JSON document with a status, beside facts such as digests and revisions. The path may be on any file system."""
     groups = {}
     for row in rows.collect():  # one row for each group
         found = row.asDict()
         blockers = {k: found[k] for k in ("exact_prompts", "normalized_prompts", "tool_names", "complete_tool_schemas", "expected_calls")}
         groups[found["name"]] = {"examples": found["examples"], "blockers": blockers, "property_name_overlap_diagnostic": found["property_names"], "passed": found["passed"]}
     out = {"status": "passed" if all(g["passed"] for g in groups.values()) else "blocked", **facts, "evaluation_groups": groups}
-    with open(path, "w", encoding="utf-8") as file:
-        file.write(json.dumps(out, ensure_ascii=False, indent=2) + "\n")
+    folder, _, name = path.rpartition("/")
+    Store(rows.sparkSession, folder or ".").put(name, out)
     return out

@@ -13,6 +13,7 @@ from ..functions.text import token_lengths
 from ..operators import corpus, labelled, metrics, ordinals, records, runs
 from ..sources import benchmarks, suites
 from ..sources.commits import CommitLog
+from ..sources.ordered import part_paths, write_ordered
 from ..sources.readers import digests, document_items, jsonl, numbered_lines, table
 from ..sources.store import Store, scratch
 from .design import table_design
@@ -436,3 +437,19 @@ def corpus_lines(spark, sf_dir):
     """The corpus as JSON lines, in order, with their own ids."""
     lines = corpus.json_lines(_corpus_of(spark, sf_dir))
     return lines.agg(F.count("*").alias("lines"), F.count_distinct(F.get_json_object("value", "$.id")).alias("ids"), F.min("ord").cast("long").alias("first_ord"), F.max("ord").cast("long").alias("last_ord"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS at, o_orderkey || ' ' || o_orderpriority || chr(10) AS line FROM orders)
+SELECT count(*) AS lines, CAST(sum(strlen(line)) AS BIGINT) AS bytes, sha256(string_agg(line, '' ORDER BY at)) AS sha256, min(at) AS first, max(at) AS last, true AS in_order, (SELECT count(*) FROM orders) AS numbered FROM o""")
+def ordered_parts(spark, sf_dir):
+    """Orders as lines in parts side by side: what the manifest says of them, the digest of the parts joined, and how many lines stand there as read again."""
+    key, store = F.col("o_orderkey"), scratch(spark, "ordered")
+    found = write_ordered(table(spark, sf_dir, "orders").select(key.alias("ord"), text(key, " ", F.col("o_orderpriority")).alias("value")), store, "parts")
+    parts, paths = found["parts"], part_paths(store, "parts")
+    whole = store.concatenate(paths, "whole.txt")
+    ranges = all(a["last"] < b["first"] for a, b in zip(parts, parts[1:], strict=False))
+    right = all(a["last"] < b["first"] for a, b in zip(parts, parts[1:], strict=False)) and [store.sha256(f"parts/{p['file']}") for p in parts] == [p["sha256"] for p in parts]
+    lines = numbered_lines(spark, paths) if paths else spark.createDataFrame([], "line long, value string")
+    ends = [F.lit(p).cast("long") for p in ((parts[0]["first"], parts[-1]["last"]) if parts else (None, None))]
+    facts = {"lines": F.lit(found["lines"]).cast("long"), "bytes": F.lit(found["bytes"]).cast("long"), "sha256": F.lit(whole), "first": ends[0], "last": ends[1], "in_order": F.lit(right)}
+    return lines.agg(F.count("*").alias("numbered")).select(*[c.alias(k) for k, c in facts.items()], "numbered")

@@ -6,9 +6,11 @@ import atexit
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import suppress
 from functools import cache
 
+from py4j.java_gateway import JavaObject
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
@@ -67,25 +69,25 @@ class Store:
 
     def write(self, name: str, content: bytes) -> None:
         """Beside it first, then renamed over it: a reader sees the old document or the new one."""
-        self._renamed(name, content, replace=True)
+        self._renamed(name, lambda stream: stream.write(content), replace=True)
 
     def publish(self, name: str, content: bytes) -> None:
         """As ``write``, but a document that is there stays, and that is an error."""
         if self.exists(name):
             raise ValueError(f"{self.path(name)} is there already")
         try:
-            self._renamed(name, content, replace=False)
+            self._renamed(name, lambda stream: stream.write(content), replace=False)
         except Py4JJavaError as error:
             if "FileAlreadyExists" in str(error):
                 raise ValueError(f"{self.path(name)} is there already") from error
             raise
 
-    def _renamed(self, name: str, content: bytes, *, replace: bool) -> None:
+    def _renamed(self, name: str, fill: Callable[[JavaObject], None], *, replace: bool) -> None:
         folder, _, last = name.rpartition("/")
         files, draft = self._at(f"{folder}/.{last}.{uuid.uuid4().hex[:8]}".lstrip("/"))
         stream = files.create(draft, True)
         try:
-            stream.write(content)
+            fill(stream)
         finally:
             stream.close()
         options = self._jvm.org.apache.hadoop.fs.Options.Rename
@@ -106,14 +108,35 @@ class Store:
     def put(self, name: str, value: object) -> None:
         self.write(name, (json.dumps(value, ensure_ascii=False, indent=2) + "\n").encode())
 
-    def sha256(self, name: str) -> str:
-        """Read in blocks by the JVM, so that a file of any size has its digest made without being held."""
-        files, where = self._at(name)
-        stream = files.open(where)
-        try:
-            return self._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
-        finally:
-            stream.close()
+    def sha256(self, *names: str) -> str:
+        """Of the files one after another. Read in blocks by the JVM, so that files of any size have their digest made without being held."""
+        tools = self._jvm.org.apache.commons.codec.digest.DigestUtils
+        digest = tools.getSha256Digest()
+        for name in names:
+            files, where = self._at(name)
+            stream = files.open(where)
+            try:
+                tools.updateDigest(digest, stream)
+            finally:
+                stream.close()
+        return bytes(digest.digest()).hex()
+
+    def concatenate(self, paths: list[str], name: str) -> str:
+        """One file of several (whole paths, on any file system), copied in blocks by the JVM; returns its SHA-256."""
+        digest = self._jvm.java.security.MessageDigest.getInstance("SHA-256")
+
+        def fill(stream) -> None:
+            out = self._jvm.java.security.DigestOutputStream(stream, digest)
+            for path in paths:
+                where = self._jvm.org.apache.hadoop.fs.Path(path)
+                part = where.getFileSystem(self._conf).open(where)
+                try:
+                    self._jvm.org.apache.commons.io.IOUtils.copyLarge(part, out)
+                finally:
+                    part.close()
+
+        self._renamed(name, fill, replace=True)
+        return bytes(digest.digest()).hex()
 
     def size(self, name: str) -> tuple[str, int] | None:
         """A file's whole path and its bytes; None if there is no such file."""
