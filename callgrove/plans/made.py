@@ -440,7 +440,7 @@ def corpus_lines(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey || ' ' || o_orderpriority || chr(10) AS line FROM orders)
-SELECT count(*) AS lines, CAST(sum(strlen(line)) AS BIGINT) AS bytes, sha256(string_agg(line, '' ORDER BY at)) AS sha256, min(at) AS first, max(at) AS last, true AS in_order, (SELECT count(*) FROM orders) AS numbered FROM o""")
+SELECT count(*) AS lines, CAST(sum(strlen(line)) AS BIGINT) AS bytes, sha256(string_agg(line, '' ORDER BY k)) AS sha256, min(k) AS first, max(k) AS last, true AS in_order, (SELECT count(*) FROM orders) AS numbered FROM o""")
 def ordered_parts(spark, sf_dir):
     """Orders as lines in parts side by side: what the manifest says of them, the digest of the parts joined, and how many lines stand there as read again."""
     key, store = F.col("o_orderkey"), scratch(spark, "ordered")
