@@ -69,20 +69,23 @@ class Store:
 
     def write(self, name: str, content: bytes) -> None:
         """Beside it first, then renamed over it: a reader sees the old document or the new one."""
-        self._renamed(name, lambda stream: stream.write(content), replace=True)
+        self._renamed(name, content, replace=True)
 
     def publish(self, name: str, content: bytes) -> None:
         """As ``write``, but a document that is there stays, and that is an error."""
         if self.exists(name):
             raise ValueError(f"{self.path(name)} is there already")
         try:
-            self._renamed(name, lambda stream: stream.write(content), replace=False)
+            self._renamed(name, content, replace=False)
         except Py4JJavaError as error:
             if "FileAlreadyExists" in str(error):
                 raise ValueError(f"{self.path(name)} is there already") from error
             raise
 
-    def _renamed(self, name: str, fill: Callable[[JavaObject], None], *, replace: bool) -> None:
+    def _renamed(self, name: str, content: bytes, *, replace: bool) -> None:
+        self._filled(name, lambda stream: stream.write(content), replace=replace)
+
+    def _filled(self, name: str, fill: Callable[[JavaObject], None], *, replace: bool) -> None:
         folder, _, last = name.rpartition("/")
         files, draft = self._at(f"{folder}/.{last}.{uuid.uuid4().hex[:8]}".lstrip("/"))
         stream = files.create(draft, True)
@@ -135,7 +138,7 @@ class Store:
                 finally:
                     part.close()
 
-        self._renamed(name, fill, replace=True)
+        self._filled(name, fill, replace=True)
         return bytes(digest.digest()).hex()
 
     def size(self, name: str) -> tuple[str, int] | None:
