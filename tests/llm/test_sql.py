@@ -1,5 +1,7 @@
 """The queries against their SQL, over the smallest tables and over fixtures that have what these lack."""
 
+import hashlib
+
 import duckdb
 import numpy as np
 import pytest
@@ -45,3 +47,26 @@ def test_repeats_that_split_characters(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     same([tuple(r) for r in frame.collect()], con.execute(f"select {', '.join(frame.columns)} from ({suffix_dedup.OP6_SQL})").fetchall())
+
+
+def test_planted_passages(spark, tmp_path):
+    """Passages of over 50 words that unlike documents share: those of 400 bytes and more go, shorter ones and clean documents stay whole."""
+    rng = np.random.default_rng(6)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(n // 6 + 2))[:n]
+    texts, gone = {}, {}
+    for size in (320, 399, 400, 401, 900):
+        passage = prose(size - 1) + "."
+        assert len(passage.split()) > 50
+        for mark in "ABCDE":  # unlike bytes on both sides, so that the repeat is the passage alone
+            before, after = prose(int(rng.integers(0, 1500))) + mark, mark + prose(int(rng.integers(0, 1500)))
+            k = len(texts)
+            texts[k], gone[k] = before + passage + after, passage if size >= 400 else ""
+    for k in range(100, 110):
+        texts[k], gone[k] = prose(1500), ""
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in suffix_dedup.op6(spark, str(tmp_path)).collect()}
+    assert got.keys() == texts.keys()
+    for k, t in texts.items():
+        kept = t.replace(gone[k], "") if gone[k] else t
+        want = len(t), len(gone[k]), int(bool(gone[k])), hashlib.sha256(kept.encode()).hexdigest(), kept
+        assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256, got[k].text) == want
